@@ -9,12 +9,13 @@ connected components of the graph of core cells.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.geo import box_distance_bounds, distance_m, m_to_degree
 from footfall.functions.grid import explode_sphere_cover, with_sphere_cell
-from footfall.operators.joins import HOT_ROWS, lookup_join, salted_join
+from footfall.operators.joins import HOT_ROWS, hot_keys, lookup_join, salted_join
 from footfall.operators.points import PLACE
 from footfall.session import stage
 
@@ -25,6 +26,9 @@ PAIR = ["term", "a_row", "a_col", "b_row", "b_col"]
 BOX_PAIRS = 1024
 SPLIT = 8
 MAX_DEPTH = 9
+# Links that one task joins up at a time, and the side of a tile in cells.
+GROUP_LINKS = 200_000
+TILE = 64
 
 
 def _side(eps: Column) -> Column:
@@ -55,8 +59,9 @@ def _within_eps(queries: DataFrame, placed: DataFrame, rows: int | None, hot_row
 def eps_neighbours(locations: DataFrame, eps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number of points within the radius of each place, one point of the place itself
     left out: ``term, lon, lat, neighbours``."""
-    placed = stage(with_radius(locations, eps), "placed")
-    pairs = _within_eps(placed, placed, placed.count(), hot_rows)
+    locations = stage(locations, "locations")
+    placed = with_radius(locations, stage(eps, "eps"))
+    pairs = _within_eps(placed, placed, locations.count(), hot_rows)
     counts = pairs.groupBy("term", "q_lon", "q_lat").agg((F.sum("w") - 1).alias("neighbours"))
     return counts.select("term", F.col("q_lon").alias("lon"), F.col("q_lat").alias("lat"), "neighbours")
 
@@ -65,8 +70,9 @@ def core_points(
     locations: DataFrame, eps: DataFrame, min_pts: int = MIN_PTS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Places with their cell and the flag ``core``: at least ``min_pts`` neighbours."""
-    placed = stage(with_radius(locations, eps), "placed")
-    rows = placed.count()
+    locations = stage(locations, "locations")
+    rows = locations.count()
+    placed = with_radius(locations, stage(eps, "eps"))
     weights = placed.groupBy(*CELL).agg(F.sum("w").alias("cell_w"))
     marked = salted_join(placed, weights, CELL, ["lon", "lat"], rows=rows, hot_rows=hot_rows)
     marked = stage(marked.withColumn("full", F.col("cell_w") > min_pts).drop("cell_w"), "cells")
@@ -186,24 +192,75 @@ def _split_boxes(places: DataFrame, parents: DataFrame, hot_rows: int) -> DataFr
     return inside.select(*CELL, "lon", "lat", "eps", F.col("box").alias("parent"), finer.alias("box"))
 
 
-def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Smallest node of the component of each node: ``term, node, root``.
+def _local_roots(links: pd.DataFrame) -> pd.DataFrame:
+    """Smallest node of the component of each node, over one group of links."""
+    a = list(zip(links["a_row"], links["a_col"]))
+    b = list(zip(links["b_row"], links["b_col"]))
+    parent = {node: node for node in a + b}
+
+    def find(node: tuple) -> tuple:
+        while parent[node] != node:
+            parent[node] = parent[parent[node]]
+            node = parent[node]
+        return node
+
+    for x, y in zip(a, b):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    out = [(*node, *find(node)) for node in parent]
+    roots = pd.DataFrame(out, columns=["row", "col", "root_row", "root_col"])
+    roots.insert(0, "term", links["term"].iloc[0])
+    return roots
+
+
+def connected_components(nodes: DataFrame, links: DataFrame, group_links: int = GROUP_LINKS) -> DataFrame:
+    """Smallest cell of the component of each core cell: ``term, row, col, root_row, root_col``.
+
+    Keywords with few links are settled one per task. Otherwise tiles of
+    ``TILE`` by ``TILE`` cells, which hold a bounded number of links, are settled
+    one per task; cells on which two tiles disagree connect the tiles' roots, and
+    the much smaller graph of those roots is solved by :func:`_iterate_roots`.
+    """
+    links = stage(links, "links")
+    local = "term string, row long, col long, root_row long, root_col long"
+    if hot_keys(links, ["term"], hot_rows=group_links) is None:
+        found = links.groupBy("term").applyInPandas(_local_roots, local)
+    else:
+        tile = [F.floor(F.col(c) / TILE).alias(f"tile_{c}") for c in ("a_row", "a_col")]
+        seen = stage(links.groupBy("term", *tile).applyInPandas(_local_roots, local), "tiles")
+        root = F.struct("root_row", "root_col")
+        lowest = seen.groupBy("term", "row", "col").agg(F.min(root).alias("root"))
+        claims = seen.join(lowest, ["term", "row", "col"]).select("term", "root", root.alias("other"))
+        conflicts = claims.filter(F.col("root") != F.col("other")).distinct()
+        settled = _iterate_roots(conflicts)
+        merged = lowest.join(settled.withColumnRenamed("node", "root"), ["term", "root"], "left")
+        final = F.coalesce("final", "root")
+        found = merged.select("term", "row", "col", final["root_row"].alias("root_row"), final["root_col"].alias("root_col"))
+    all_nodes = nodes.select("term", "row", "col").join(found, ["term", "row", "col"], "left")
+    return all_nodes.select(
+        "term", "row", "col",
+        F.coalesce("root_row", "row").alias("root_row"),
+        F.coalesce("root_col", "col").alias("root_col"),
+    )
+
+
+def _iterate_roots(links: DataFrame) -> DataFrame:
+    """Smallest node of each component over links ``term, root, other``: ``term, node, final``.
 
     Every round takes the smallest root among the neighbours, hands it on to the
     node's own root, and then jumps from root to root. Rounds grow with the
     logarithm of the component's diameter; each is written down, so a lost executor
     costs one round.
     """
-    both = links.select("term", F.col("a").alias("node"), F.col("b").alias("other"))
+    both = links.select("term", F.col("root").alias("node"), "other")
     both = stage(both.union(both.select("term", "other", "node")), "links")
-    roots = nodes.select("term", "node", F.col("node").alias("root"))
+    roots = both.select("term", "node", F.col("node").alias("root")).distinct()
     moving = not both.isEmpty()
     while moving:
         known = roots.select("term", F.col("node").alias("other"), F.col("root").alias("other_root"))
         lowest = both.join(known, ["term", "other"]).groupBy("term", "node").agg(F.min("other_root").alias("low"))
-        offers = roots.join(lowest, ["term", "node"], "left")
-        low = F.least("root", F.coalesce("low", "root"))
-        offers = offers.select("term", "root", "node", low.alias("low"))
+        offers = roots.join(lowest, ["term", "node"]).withColumn("low", F.least("root", "low"))
         offers = offers.select("term", "node", "low").union(offers.select("term", "root", "low"))
         hooked = offers.groupBy("term", "node").agg(F.min("low").alias("up"))
         # Few distinct roots remain after the first rounds, so the planner can
@@ -215,7 +272,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         fresh = stage(jumped.join(before, ["term", "node"]).withColumn("moved", F.col("root") != F.col("old")), "roots")
         moving = not fresh.filter("moved").isEmpty()
         roots = fresh.select("term", "node", "root")
-    return roots
+    return roots.withColumnRenamed("root", "final")
 
 
 def dbscan(
@@ -224,6 +281,7 @@ def dbscan(
     min_pts: int = MIN_PTS,
     box_pairs: int = BOX_PAIRS,
     hot_rows: int = HOT_ROWS,
+    group_links: int = GROUP_LINKS,
 ) -> DataFrame:
     """Cluster the places of each keyword: ``term, lon, lat, w, core, label``.
 
@@ -233,23 +291,19 @@ def dbscan(
     places = stage(core_points(locations, eps, min_pts, hot_rows), "places")
     core = places.filter("core")
     cells = stage(_box_stats(core, CELL), "core_cells")
-    node = F.struct("row", "col").alias("node")
-    links = _cell_links(core, cells, box_pairs, hot_rows).select(
-        "term",
-        F.struct(F.col("a_row").alias("row"), F.col("a_col").alias("col")).alias("a"),
-        F.struct(F.col("b_row").alias("row"), F.col("b_col").alias("col")).alias("b"),
-    )
-    roots = connected_components(cells.select("term", node), links)
-    named = roots.join(cells.select("term", node, "first_place"), ["term", "node"])
-    names = named.groupBy("term", "root").agg(F.min("first_place").alias("label"))
-    cell_labels = roots.join(names, ["term", "root"]).select("term", "node.row", "node.col", "label")
+    roots = connected_components(cells, _cell_links(core, cells, box_pairs, hot_rows), group_links)
+    component = ["term", "root_row", "root_col"]
+    named = roots.join(cells.select(*CELL, "first_place"), CELL)
+    names = named.groupBy(*component).agg(F.min("first_place").alias("label"))
+    cell_labels = roots.join(names, component).select(*CELL, "label")
     clustered = stage(salted_join(core, cell_labels, CELL, ["lon", "lat"], hot_rows=hot_rows), "clustered")
     others = places.filter(~F.col("core"))
     touching = _within_eps(others, clustered.select(*CELL, "lon", "lat", "eps", "label"), None, hot_rows)
     borders = touching.groupBy("term", "q_lon", "q_lat").agg(F.min("label").alias("label"))
     borders = borders.select("term", F.col("q_lon").alias("lon"), F.col("q_lat").alias("lat"), "label")
     columns = [*PLACE, "w", "core", "label"]
-    return clustered.select(columns).unionByName(others.join(borders, PLACE, "left").select(columns))
+    result = clustered.select(columns).unionByName(others.join(borders, PLACE, "left").select(columns))
+    return stage(result, "clusters")
 
 
 def largest_cluster(clusters: DataFrame, min_pts: int = MIN_PTS) -> DataFrame:

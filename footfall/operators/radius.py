@@ -7,7 +7,6 @@ n`` and return ``term, eps`` in metres.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -62,15 +61,16 @@ def _block_hull(rows: pd.DataFrame) -> pd.DataFrame:
     ]
 
 
-def _suffix_hulls(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _suffix_hulls(rows: pd.DataFrame) -> pd.DataFrame:
     """For each block, the lower hull of everything in later blocks."""
     rows = rows.sort_values("start")
-    later = rows.iloc[:0]
+    later, out = rows.iloc[:0], [rows.iloc[:0]]
     for block in sorted(rows["block"].unique(), reverse=True):
         if len(later):
-            yield later.assign(block=block)
+            out.append(later.assign(block=block))
         both = pd.concat([rows[rows["block"] == block], later])
         later = both.iloc[_lower_hull(both["start"].to_numpy(float), both["dist"].to_numpy())]
+    return pd.concat(out)
 
 
 def _far_flags(rows: pd.DataFrame, later: pd.DataFrame | None, threshold: float) -> pd.DataFrame:

@@ -56,11 +56,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
     The table cuts the lineage, survives the loss of executors, and gives later
-    readers column pruning and a row count from the file footers.
+    readers column pruning and a row count from the file footers. A frame that is
+    such a table already is returned as it is.
     """
+    if "_footfall_stage" in vars(df):
+        return df
     path = stage_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._footfall_stage = path
+    return written
 
 
 def clear_stages(spark: SparkSession) -> None:
