@@ -171,13 +171,16 @@ def eps_threshold_coarse(curve: DataFrame, threshold: float = THRESHOLD, hot_row
 def eps_bootstrap(curve: DataFrame, repetitions: int, samples: int, seed: int = 0) -> DataFrame:
     """Median of the elbows of ``repetitions`` samples drawn with replacement.
 
-    The draws are hashes of keyword, repetition and draw number, so a run repeats.
+    Draw numbers are hashed to positions of the curve by a linear congruence, so a
+    run repeats.
     """
     points = stage(with_positions(stage(curve, "curve"), ["term"], "dist"), "positions")
     sizes = points.groupBy("term").agg(F.first("total").alias("total"))
     draws = sizes.select("term", "total", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"))
     draws = draws.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("draw"))
-    drawn = F.pmod(F.xxhash64("term", "rep", "draw", F.lit(seed)), F.col("total"))
+    number = F.col("rep").cast("bigint") * 1000003 + F.col("draw") + seed
+    mixed = (F.pmod(number, F.lit(2**31)) * 1103515245 + 12345) % 2**31
+    drawn = F.floor(mixed / F.lit(2.0**31) * F.col("total"))
     draws = draws.select("term", "rep", drawn.alias("i")).groupBy("term", "rep", "i").agg(F.count(F.lit(1)).alias("times"))
     expanded = points.select("term", "dist", F.explode(F.expr("sequence(start, start + n - 1)")).alias("i"))
     sampled = stage(lookup_join(expanded, stage(draws, "draws"), ["term", "i"], ["i"]), "sampled")

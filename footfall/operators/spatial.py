@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from footfall.functions.geo import (
     area_km2,
@@ -160,7 +161,7 @@ def _twice_area(ring: list) -> float:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _overlap(subjects: pd.Series, convexes: pd.Series) -> pd.Series:
     areas = []
     for subject, convex in zip(subjects, convexes):

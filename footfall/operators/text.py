@@ -36,7 +36,7 @@ def term_filter(rows: DataFrame, stop_words: DataFrame, column: str = "tag") ->
 
 def prune_stop_terms(posts: DataFrame) -> DataFrame:
     """Remove the built-in stop words, and tags that contain a stop fragment."""
-    return posts.withColumn("tags", F.filter("tags", is_not_builtin_stop))
+    return posts.withColumn("tags", F.filter("tags", lambda tag: is_not_builtin_stop(tag)))
 
 
 def cell_bag(posts: DataFrame, size_m: float = 200, ref_lat: float | None = None) -> DataFrame:
