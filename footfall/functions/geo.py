@@ -5,13 +5,12 @@ A ring is ``array<struct<lon double, lat double>>``, closed (first = last).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_KM = 6371.0087714
 KM2_PER_SQUARE_DEGREE = 12365.1613
+BORDER = 1e-12
 RING_TYPE = "array<struct<lon:double,lat:double>>"
 
 
@@ -142,14 +141,19 @@ def area_km2(ring: Column, planar: bool = False) -> Column:
 
 
 def ring_contains(ring: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd test of a point against any simple ring; the boundary counts as inside."""
+    """Even-odd test of a point against any simple ring; the border counts as inside.
+
+    A point within ``BORDER`` degrees of an edge is on the border: decimal
+    coordinates on a line are rarely exactly on it in binary.
+    """
     state = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("edge"))
 
     def step(acc: Column, i: Column) -> Column:
         a, b = F.element_at(ring, i - 1), F.element_at(ring, i)
         turn = (b["lon"] - a["lon"]) * (lat - a["lat"]) - (b["lat"] - a["lat"]) * (lon - a["lon"])
+        length = F.sqrt((b["lon"] - a["lon"]) * (b["lon"] - a["lon"]) + (b["lat"] - a["lat"]) * (b["lat"] - a["lat"]))
         on_edge = (
-            (turn == 0)
+            (F.abs(turn) <= length * BORDER)
             & lon.between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"]))
             & lat.between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
         )
@@ -180,8 +184,3 @@ def ring_from_wkt(text: Column) -> Column:
             F.element_at(F.split(pair, r"\s+"), 2).cast("double").alias("lat"),
         ),
     )
-
-
-def all_of(conditions: list[Column]) -> Column:
-    """Conjunction of a non-empty list of conditions."""
-    return reduce(lambda a, b: a & b, conditions)
