@@ -63,17 +63,15 @@ def _lookup_points(
     points: DataFrame, rois: DataFrame, lon: str, lat: str, salt_by: list[str], broadcast_rows: int, hot_rows: int
 ) -> DataFrame:
     """Pairs of a point and a region whose bounding box holds it."""
-    boxed = stage(_with_box(rois), "boxes")
-    levels = _levels(boxed)
-    if not levels:
-        levels = [0]
+    boxed = _with_box(rois)
     cells = stage(_explode_cells(boxed, F.col("own_level")), "cells")
-    vertices = cells.agg(F.sum(1 + F.size("ring") / VERTICES_PER_ROW)).first()[0] or 0
-    placed = points.select("*", F.explode(F.array(*[F.lit(level) for level in levels])).alias("level"))
+    size = 1 + F.size("ring") / VERTICES_PER_ROW
+    levels, rows = cells.agg(F.sort_array(F.collect_set("own_level")), F.coalesce(F.sum(size), F.lit(0.0))).first()
+    placed = points.select("*", F.explode(F.array(*[F.lit(level) for level in levels or [0]])).alias("level"))
     placed = placed.select(
         "*", _cell(F.col(lat), F.col("level")).alias("gy"), _cell(F.col(lon), F.col("level")).alias("gx")
     )
-    pairs = lookup_join(placed, cells.drop("own_level"), GRID, salt_by, int(vertices), broadcast_rows, hot_rows)
+    pairs = lookup_join(placed, cells.drop("own_level"), GRID, salt_by, int(rows), broadcast_rows, hot_rows)
     inside = F.col(lon).between(F.col("box.lon_lo"), F.col("box.lon_hi"))
     return pairs.filter(inside & F.col(lat).between(F.col("box.lat_lo"), F.col("box.lat_hi"))).drop(*GRID)
 

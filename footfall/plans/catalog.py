@@ -523,17 +523,20 @@ def roi_area(spark, sf_dir):
     return both.select("poi", _r("area_km2", 6), _r("planar_km2", 6))
 
 
+def _quality_rows(quality: DataFrame) -> DataFrame:
+    areas = [_r(F.col(c) * 1000000.0, 5, c) for c in ("tp", "fp", "fn")]
+    return quality.select("poi", "matched", *areas, *[_r(c, 5) for c in ("precision", "recall", "f1")])
+
+
 @query
 def roi_quality(spark, sf_dir):
-    quality = spatial.roi_quality(_place_boxes(spark, sf_dir), _place_boxes(spark, sf_dir, "foto"))
-    measures = [_r(F.col(c) * 1000000.0, 6, c) for c in ("tp", "fp", "fn")]
-    return quality.select("poi", "matched", *measures, *[_r(c, 6) for c in ("precision", "recall", "f1")])
+    return _quality_rows(spatial.roi_quality(_place_boxes(spark, sf_dir), _place_boxes(spark, sf_dir, "foto")))
 
 
 @query
 def roi_quality_extracted(spark, sf_dir):
     found = regions.extract_rois(derived.posts(spark, sf_dir), _keywords(spark))
-    return spatial.roi_quality(derived.place_regions(spark), found)
+    return _quality_rows(spatial.roi_quality(derived.place_regions(spark), found))
 
 
 # Trajectories and patterns.

@@ -131,20 +131,20 @@ CTES["curve"] = "SELECT term, dist, CAST(sum(w) AS BIGINT) AS n FROM knn GROUP B
 _elbow("knn_curve", "curve", "term", "dist")
 _elbow("gap_curve", "curve", "term", "dist", 0.27)
 CTES["curve_points"] = """SELECT term, y, total, ya, yb, unnest(range(i, i + n)) AS i FROM knn_curve_pos"""
-CTES["far"] = """SELECT a.term, a.i, a.y, a.ya,
+CTES["far_flags"] = """SELECT a.term, a.i, a.y, a.ya,
   coalesce(bool_or((b.y - a.yb) / (a.y - a.yb) < 1.0e0 - 0.27e0 - (b.i - a.i) / CAST(a.total - 1 - a.i AS DOUBLE)), false) AS far
 FROM curve_points a LEFT JOIN curve_points b
   ON b.term = a.term AND b.i > a.i AND b.i < a.total - 1 AND a.y > a.yb
 WHERE a.i <= a.total - 3 GROUP BY a.term, a.i, a.y, a.ya"""
-CTES["eps"] = "SELECT term, coalesce(arg_min(y, i) FILTER (WHERE NOT far), max(ya)) AS eps FROM far GROUP BY term"
+CTES["eps_by_term"] = "SELECT term, coalesce(arg_min(y, i) FILTER (WHERE NOT far), max(ya)) AS eps FROM far_flags GROUP BY term"
 CTES["steps"] = """SELECT term, total, greatest(1, (total - 2) // least(100, total)) AS step FROM (
   SELECT DISTINCT term, total FROM curve_points)"""
-CTES["jumps"] = """SELECT f.term, f.i, f.far FROM far f JOIN steps s ON s.term = f.term
+CTES["jumps"] = """SELECT f.term, f.i, f.far FROM far_flags f JOIN steps s ON s.term = f.term
 WHERE f.i % s.step = 0 OR f.i = s.total - 3"""
 CTES["reached"] = """SELECT j.term, coalesce(max(j.i) FILTER (WHERE m.miss IS NULL OR j.i < m.miss), 0) AS i FROM jumps j
 LEFT JOIN (SELECT term, min(i) AS miss FROM jumps WHERE NOT far GROUP BY term) m ON m.term = j.term GROUP BY j.term"""
 CTES["eps_coarse"] = """SELECT f.term, coalesce(arg_min(f.y, f.i) FILTER (WHERE NOT f.far AND f.i >= r.i), max(f.ya)) AS eps
-FROM far f JOIN reached r ON r.term = f.term GROUP BY f.term"""
+FROM far_flags f JOIN reached r ON r.term = f.term GROUP BY f.term"""
 CTES["draws"] = """SELECT term, rep,
   CAST(floor((((rep * 1000003 + draw) % 2147483648) * 1103515245 + 12345) % 2147483648 / 2147483648.0e0 * total) AS BIGINT) AS i
 FROM (SELECT DISTINCT term, total FROM curve_points) t, range(1, 10) AS a(rep), range(1, 201) AS b(draw)"""
@@ -152,10 +152,10 @@ CTES["draw_hist"] = """SELECT d.term, d.rep, p.y AS dist, count(*) AS n FROM dra
 JOIN curve_points p ON p.term = d.term AND p.i = d.i GROUP BY d.term, d.rep, p.y"""
 _elbow("draw_curve", "draw_hist", "term, rep", "dist")
 
-CTES["near_eps"] = "SELECT p.* FROM pairs p JOIN eps e ON e.term = p.term WHERE p.d <= e.eps"
-CTES["neighbours"] = """SELECT term, lon, lat, CAST(sum(b_w) - 1 AS BIGINT) AS neighbours, sum(b_w) - 1 >= 4 AS core
+CTES["near_eps"] = "SELECT p.* FROM pairs p JOIN eps_by_term e ON e.term = p.term WHERE p.d <= e.eps"
+CTES["neighbour_counts"] = """SELECT term, lon, lat, CAST(sum(b_w) - 1 AS BIGINT) AS neighbours, sum(b_w) - 1 >= 4 AS core
 FROM near_eps GROUP BY term, lon, lat"""
-CTES["ids"] = "SELECT *, row_number() OVER (PARTITION BY term ORDER BY lat, lon) AS id FROM neighbours"
+CTES["ids"] = "SELECT *, row_number() OVER (PARTITION BY term ORDER BY lat, lon) AS id FROM neighbour_counts"
 CTES["links"] = """SELECT a.term, a.id AS a, b.id AS b, a.core AS a_core FROM near_eps n
 JOIN ids a ON a.term = n.term AND a.lon = n.lon AND a.lat = n.lat
 JOIN ids b ON b.term = n.term AND b.lon = n.b_lon AND b.lat = n.b_lat WHERE b.core"""
@@ -247,6 +247,62 @@ FROM split_sequences s JOIN sequences a ON a.items = [x FOR x IN s.items IF x <>
 WHERE s.freq / CAST(a.freq AS DOUBLE) >= 0.01e0"""
 
 
+CTES["hull_edges"] = "SELECT * FROM roi_hull_longest WHERE out_rk = 1 AND in_rk = 1"
+CTES["hull_boxes"] = """SELECT term, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM hull_edges GROUP BY term"""
+CTES["capped_points"] = """SELECT term, post_id, pos, lon, lat FROM (SELECT tag AS term, post_id, pos, longitude AS lon, latitude AS lat,
+  count(*) OVER (PARTITION BY tag) AS n, row_number() OVER (PARTITION BY tag
+  ORDER BY ((post_id % 2147483648) * 1103515245 + 12345) % 2147483648, post_id, pos) AS rk FROM tags
+  WHERE tag IN (SELECT term FROM kept_scores)) WHERE n > 50 AND rk <= 5000"""
+CTES["hull_hits"] = """SELECT p.post_id, p.username, p.posted_ts, e.term AS poi FROM posts p
+JOIN hull_boxes b ON p.longitude BETWEEN b.x0 AND b.x1 AND p.latitude BETWEEN b.y0 AND b.y1
+JOIN hull_edges e ON e.term = b.term GROUP BY p.post_id, p.username, p.posted_ts, e.term
+HAVING min(((e.b_lon - e.lon) * (p.latitude - e.lat) - (e.b_lat - e.lat) * (p.longitude - e.lon)) / sqrt(e.len)) >= -1e-12"""
+
+
+def _copy(prefix: str, names: list[str], swaps: dict[str, str]) -> None:
+    """Add the chain of tables ``names`` once more under ``prefix``, on other input."""
+    keys = {key.split("(")[0]: key for key in CTES}
+    renamed = {**{name: prefix + name for name in names}, **swaps}
+    word = re.compile(r"\b(" + "|".join(renamed) + r")\b")
+    for name in names:
+        CTES[prefix + keys[name]] = word.sub(lambda m: renamed[m.group()], CTES[keys[name]])
+
+
+REGION_CHAIN = (
+    "locations pairs near knn curve knn_curve_pos curve_points far_flags eps_by_term near_eps neighbour_counts ids links "
+    "core_links spread core_labels labels clusters cluster_sizes largest chosen roi_hull_outer roi_hull_edges "
+    "roi_hull_longest hull_edges hull_boxes hull_hits"
+).split()
+RULE_CHAIN = "visit_rows day_places n_days subsets itemsets split_sets set_rules".split()
+_copy("w_", REGION_CHAIN, {"points": "capped_points"})
+_copy("w_", RULE_CHAIN, {"hits": "w_hull_hits"})
+
+# Overlap of a hull and a rectangle: its height is linear between the longitudes
+# where either shape bends or their borders cross, so trapezoids give the area.
+CTES["bends"] = """SELECT DISTINCT term, x FROM (
+  SELECT term, lon AS x FROM hull_edges
+  UNION ALL SELECT r.poi, unnest([r.x0, r.x1]) FROM regions r
+  UNION ALL SELECT e.term, e.lon + (v.y - e.lat) / (e.b_lat - e.lat) * (e.b_lon - e.lon)
+    FROM hull_edges e JOIN (SELECT poi, unnest([y0, y1]) AS y FROM regions) v ON v.poi = e.term
+    WHERE (e.lat - v.y) * (e.b_lat - v.y) < 0) t"""
+CTES["heights"] = """SELECT t.term, t.x, greatest(0.0e0, least(max(r.y1), max(t.y)) - greatest(max(r.y0), min(t.y))) AS height
+FROM (SELECT b.term, b.x, unnest(CASE WHEN e.b_lon = e.lon THEN [e.lat, e.b_lat]
+    ELSE [e.lat + (b.x - e.lon) / (e.b_lon - e.lon) * (e.b_lat - e.lat)] END) AS y
+  FROM bends b JOIN hull_edges e ON e.term = b.term AND b.x BETWEEN least(e.lon, e.b_lon) AND greatest(e.lon, e.b_lon)) t
+JOIN regions r ON r.poi = t.term AND t.x BETWEEN r.x0 AND r.x1 GROUP BY t.term, t.x"""
+CTES["slices"] = """SELECT term, height, x, lag(height) OVER (PARTITION BY term ORDER BY x) AS h_before,
+  lag(x) OVER (PARTITION BY term ORDER BY x) AS x_before FROM heights"""
+CTES["hull_quality"] = """SELECT r.poi, a.term IS NOT NULL AS matched, CASE WHEN a.term IS NOT NULL THEN coalesce(s.tp, 0.0e0) END AS tp,
+  a.micro_square_degrees / 1000000.0e0 AS found, (r.x1 - r.x0) * (r.y1 - r.y0) AS real_area
+FROM regions r LEFT JOIN roi_hull_area a ON a.term = r.poi
+LEFT JOIN (SELECT term, sum((height + h_before) / 2.0e0 * (x - x_before)) AS tp FROM slices GROUP BY term) s ON s.term = r.poi"""
+
+SHARED = set(
+    "raw_posts tags bag kept_scores locations pairs near_eps ids core_links far_flags clusters roi_hull_edges "
+    "hull_edges day_places itemsets sequences".split()
+)
+
+
 def _statement(select: str) -> str:
     """The select with every table expression it needs, in definition order."""
     names = {key.split("(")[0]: key for key in CTES}
@@ -257,9 +313,8 @@ def _statement(select: str) -> str:
             if word in names and word not in needed:
                 needed.add(word)
                 queue.append(CTES[names[word]])
-    shared = {"raw_posts", "tags", "bag", "locations", "pairs", "near_eps", "ids", "core_links", "far", "clusters", "day_places", "itemsets", "sequences"}
     parts = [
-        f"{names[name]} AS {'MATERIALIZED ' if name in shared else ''}({CTES[names[name]]})"
+        f"{names[name]} AS {'MATERIALIZED ' if name.removeprefix('w_') in SHARED else ''}({CTES[names[name]]})"
         for name in names
         if name in needed
     ]
@@ -278,6 +333,11 @@ TRIPLES = " || ' ' || ".join(
     "CAST({} AS VARCHAR) || ',' || CAST({} AS VARCHAR) || ',0.0'".format(*corner.split(",")) for corner in CORNERS
 )
 
+QUALITY = """SELECT poi, matched, round(tp * 1000000.0e0, 5) AS tp,
+  round(greatest(0, found - tp) * 1000000.0e0, 5) AS fp, round(greatest(0, real_area - tp) * 1000000.0e0, 5) AS fn,
+  round(tp / found, 5) AS precision, round(tp / real_area, 5) AS recall,
+  round(2.0e0 * tp / (found + real_area), 5) AS f1 FROM """
+
 SELECTS: dict[str, str] = {
     "read_posts_json": POST_ROWS + "posts",
     "read_posts_parquet": POST_ROWS + "posts",
@@ -331,7 +391,7 @@ SELECTS: dict[str, str] = {
     "degree_metric": f"""SELECT post_id, round(radians(latitude) * {EARTH_RADIUS_KM}e0, 6) AS lat_km,
   round(radians(longitude) * {METRES}, 3) AS lon_m, round(degrees(latitude * 1000.0e0 / {METRES}), 9) AS degrees FROM posts""",
     "knn_distance": "SELECT term, lon, lat, w, round(dist, 3) AS dist FROM knn",
-    "eps_threshold": "SELECT term, round(eps, 3) AS eps FROM eps",
+    "eps_threshold": "SELECT term, round(eps, 3) AS eps FROM eps_by_term",
     "eps_elbow": "SELECT term, round(y, 3) AS eps FROM knn_curve_knee",
     "eps_percentile": """SELECT term, round(y, 3) AS eps FROM curve_points
 WHERE i = least(CAST(floor(total * 0.3e0) AS BIGINT), total - 1)""",
@@ -341,8 +401,8 @@ WHERE i = least(CAST(floor(total * 0.3e0) AS BIGINT), total - 1)""",
     "cap_points": f"""SELECT term, post_id, pos FROM (SELECT tag AS term, post_id, pos, row_number() OVER (PARTITION BY tag
   ORDER BY ((post_id % 2147483648) * 1103515245 + 12345) % 2147483648, post_id, pos) AS rk FROM tags
   WHERE tag IN ({_list([*PLACES, "rome"])})) WHERE rk <= 5000""",
-    "eps_neighbours": "SELECT term, lon, lat, neighbours FROM neighbours",
-    "core_points": "SELECT term, lon, lat, core FROM neighbours",
+    "eps_neighbours": "SELECT term, lon, lat, neighbours FROM neighbour_counts",
+    "core_points": "SELECT term, lon, lat, core FROM neighbour_counts",
     "dbscan": "SELECT term, lon, lat, core, label_lat, label_lon FROM clusters",
     "largest_cluster": "SELECT term, label_lat, label_lon, places FROM largest",
     "convex_hull": "SELECT term, micro_square_degrees FROM all_hull_area",
@@ -361,10 +421,8 @@ ON f.lon_lo >= b.lon_lo AND f.lon_hi <= b.lon_hi AND f.lat_lo >= b.lat_lo AND f.
     "roi_area": f"""SELECT poi, round((lon_hi - lon_lo) * (lat_hi - lat_lo) * {KM2_PER_SQUARE_DEGREE}e0
   * (sin(radians(lat_hi)) - sin(radians(lat_lo))) / (radians(lat_hi) - radians(lat_lo)), 6) AS area_km2,
   round((lon_hi - lon_lo) * (lat_hi - lat_lo) * {KM2_PER_SQUARE_DEGREE}e0, 6) AS planar_km2 FROM boxes""",
-    "roi_quality": """SELECT poi, matched, round(tp * 1000000.0e0, 6) AS tp,
-  round(greatest(0, found - tp) * 1000000.0e0, 6) AS fp, round(greatest(0, real_area - tp) * 1000000.0e0, 6) AS fn,
-  round(tp / found, 6) AS precision, round(tp / real_area, 6) AS recall,
-  round(2.0e0 * tp / (found + real_area), 6) AS f1 FROM quality""",
+    "roi_quality": QUALITY + "quality",
+    "roi_quality_extracted": QUALITY + "hull_quality",
     "visits": "SELECT username, day, poi, ts FROM visit_rows",
     "user_day_places": "SELECT username, day, string_agg(poi, ',' ORDER BY poi) AS places FROM day_places GROUP BY username, day",
     "transactions": "SELECT string_agg(poi, ',' ORDER BY poi) AS items FROM day_places GROUP BY username, day",
@@ -375,6 +433,8 @@ ON f.lon_lo >= b.lon_lo AND f.lon_hi <= b.lon_hi AND f.lat_lo >= b.lat_lo AND f.
     "user_day_sequences": "SELECT username, day, string_agg(poi, '>' ORDER BY pos) AS sequence FROM ordered GROUP BY username, day",
     "frequent_sequences": "SELECT array_to_string(items, '>') AS items, freq FROM sequences",
     "sequence_rules": SEQUENCE_RULES,
+    "pipeline": """SELECT antecedent, consequent, round(confidence, 6) AS confidence, round(lift, 6) AS lift,
+  round(support, 6) AS support FROM w_set_rules""",
     "roi_job": ROI_AREAS,
     "trajectory_job": SEQUENCE_RULES,
 }

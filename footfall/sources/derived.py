@@ -22,9 +22,15 @@ STOP_WORDS = ["foto"]
 PART_NAMES = 200
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """Use all cores for a file too small to be split; larger input is not shuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, "event_id") if table.rdd.getNumPartitions() < cores // 2 else table
+
+
 def derive_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All derived posts, the invalid ones included, plus ``posted_ts``."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    events = _spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"))
     # The lookup key is event_id % 200 of a non-negative id, so the range says
     # nothing new; it bounds the broadcast side to 200 rows of the unique key.
     names = (
