@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from footfall.operators.joins import HOT_ROWS, hot_keys
 from footfall.session import stage
 
-MIN_BLOCKS, MAX_BLOCKS = 16, 10_000
+MAX_BLOCKS = 10_000
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -28,15 +28,19 @@ def _with_blocks(hist: DataFrame, hot: DataFrame, keys: list[str], value: str, b
 
     Block limits are approximate quantiles. They steer only how the work is cut
     up, so they need not be exact; they are written down once so that every
-    reader sees the same ones.
+    reader sees the same ones. A key keeps limits in proportion to its rows, so all
+    keys together have a number of limits bounded by ``1 / HOT_SHARE``.
     """
     share = [i / blocks for i in range(1, blocks)]
-    limits = (
-        hist.join(F.broadcast(hot.select(*keys)), keys)
+    quantiles = (
+        hist.join(F.broadcast(hot.select(*keys, "salts")), keys)
         .groupBy(*keys)
-        .agg(F.percentile_approx(value, share, 10 * blocks).alias("limits"))
+        .agg(F.percentile_approx(value, share, 10 * blocks).alias("quantiles"), F.first("salts").alias("salts"))
     )
-    limits = stage(limits, "limits")
+    wanted = F.least(F.lit(blocks), 2 * F.col("salts"))
+    at = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.floor(i * blocks / wanted).cast("int"))
+    limits = F.transform(at, lambda i: F.element_at("quantiles", i))
+    limits = stage(quantiles.select(*keys, limits.alias("limits")), "limits")
     above = F.size(F.filter("limits", lambda limit: limit > F.col(value)))
     return hist.join(F.broadcast(limits), keys, "left").withColumn(
         "block", F.when(F.col("limits").isNull(), F.lit(0)).otherwise(above)
@@ -75,7 +79,7 @@ def with_positions(
             F.min(value).over(by_key).alias("y_last"),
         )
     largest = hot.agg(F.max("salts")).first()[0]
-    blocked = _with_blocks(hist, hot, keys, value, min(MAX_BLOCKS, max(MIN_BLOCKS, 2 * largest)))
+    blocked = _with_blocks(hist, hot, keys, value, min(MAX_BLOCKS, 2 * largest))
     per_block = blocked.groupBy(*keys, "block").agg(
         F.sum(weight).alias("block_n"), F.max(value).alias("block_max"), F.min(value).alias("block_min")
     )

@@ -18,10 +18,12 @@ NEIGHBOURS = 4
 FIRST_SIDE_M = 4.0
 LEVELS = 8
 CROWDED = 12
+# Small tables may start with fuller cells, as long as the first round makes no more pairs than this.
+FIRST_PAIRS = 2_000_000
 HALF_CIRCLE_M = math.pi * EARTH_RADIUS_KM * 1000.0
 
 
-def _first_sides(locations: DataFrame) -> DataFrame:
+def _first_sides(locations: DataFrame, rows: int) -> DataFrame:
     """Widest of a few cell sides at which no cell of a keyword is crowded: ``term, side``.
 
     The choice affects only the amount of work. Starting with cells that are not
@@ -34,7 +36,8 @@ def _first_sides(locations: DataFrame) -> DataFrame:
     cells = with_sphere_cell(levels, m_to_degree(F.col("side")))
     crowd = cells.groupBy("term", "side", "row", "col").agg(F.count(F.lit(1)).alias("m"))
     worst = crowd.groupBy("term", "side").agg(F.max("m").alias("m"))
-    usable = F.max(F.when(F.col("m") <= CROWDED, F.col("side")))
+    crowded = max(CROWDED, FIRST_PAIRS // (9 * max(1, rows)))
+    usable = F.max(F.when(F.col("m") <= crowded, F.col("side")))
     return worst.groupBy("term").agg(F.coalesce(usable, F.lit(FIRST_SIDE_M)).alias("side"))
 
 
@@ -58,7 +61,7 @@ def knn_distance(
     locations = stage(locations, "locations")
     rows = locations.count()
     totals = locations.groupBy("term").agg(F.sum("w").alias("total"))
-    sides = stage(totals.join(_first_sides(locations), "term"), "sides")
+    sides = stage(totals.join(_first_sides(locations, rows), "term"), "sides")
     placed = lookup_join(locations, sides, ["term"], ["lon", "lat"])
     every = placed.drop("total")
     open_points = placed.filter(F.col("total") - F.col("w") >= k).drop("total")

@@ -60,9 +60,16 @@ def mobility_job(
     rois_path: str | None = None,
     **options,
 ) -> dict[str, DataFrame]:
-    """:func:`pipeline` over files: posts by extension, word lists as text, regions as KML."""
+    """:func:`pipeline` over files: posts by extension, word lists as text, regions as KML.
+
+    The steps read the posts up to three times, so JSON is parsed once and continued
+    from columnar form.
+    """
+    posts = read_posts(spark, dataset_path)
+    if not rois_path and dataset_path.rstrip("/").lower().endswith("json"):
+        posts = stage(posts, "posts")
     return pipeline(
-        read_posts(spark, dataset_path),
+        posts,
         keywords=read_terms(spark, keywords_path) if keywords_path else None,
         stop_words=read_terms(spark, stop_words_path) if stop_words_path else None,
         rois=read_roi_kml(spark, rois_path) if rois_path else None,

@@ -174,7 +174,8 @@ CTES["cluster_sizes"] = """SELECT *, row_number() OVER (PARTITION BY term ORDER
   GROUP BY term, label, label_lat, label_lon)"""
 CTES["largest"] = "SELECT * FROM cluster_sizes WHERE rk = 1 AND places > 4"
 CTES["chosen"] = """SELECT c.term, c.lon, c.lat FROM clusters c
-JOIN largest g ON g.term = c.term AND g.label = c.label"""
+JOIN largest g ON g.term = c.term AND g.label = c.label
+WHERE c.term IN (SELECT term FROM points GROUP BY term HAVING count(*) > 50)"""
 
 
 def _hull_area(prefix: str, source: str) -> None:
@@ -334,7 +335,8 @@ TRIPLES = " || ' ' || ".join(
 )
 
 QUALITY = """SELECT poi, matched, round(tp * 1000000.0e0, 5) AS tp,
-  round(greatest(0, found - tp) * 1000000.0e0, 5) AS fp, round(greatest(0, real_area - tp) * 1000000.0e0, 5) AS fn,
+  CASE WHEN matched THEN round(greatest(0, found - tp) * 1000000.0e0, 5) END AS fp,
+  CASE WHEN matched THEN round(greatest(0, real_area - tp) * 1000000.0e0, 5) END AS fn,
   round(tp / found, 5) AS precision, round(tp / real_area, 5) AS recall,
   round(2.0e0 * tp / (found + real_area), 5) AS f1 FROM """
 

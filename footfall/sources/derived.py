@@ -87,8 +87,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, words: list[str]) -> DataFrame:
-    """A word list as the one-column table that :func:`read_terms` returns."""
-    return spark.createDataFrame([(w,) for w in words], "term string")
+    """A word list as the one-column table that :func:`read_terms` returns.
+
+    As a literal its size is known to the planner.
+    """
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in words])).alias("term"))
 
 
 def place_regions(spark: SparkSession) -> DataFrame:
