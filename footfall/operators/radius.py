@@ -55,22 +55,30 @@ def _lower_hull(x: np.ndarray, y: np.ndarray) -> list[int]:
 
 
 def _block_hull(rows: pd.DataFrame) -> pd.DataFrame:
+    """Lower hull of one block, each vertex with the slopes of its two edges."""
     rows = rows[rows["start"] < rows["total"] - 1].sort_values("start")
-    return rows.iloc[_lower_hull(rows["start"].to_numpy(float), rows["dist"].to_numpy())][
-        ["term", "block", "start", "dist"]
-    ]
+    hull = rows.iloc[_lower_hull(rows["start"].to_numpy(float), rows["dist"].to_numpy())][["term", "block", "start", "dist"]]
+    slopes = np.diff(hull["dist"].to_numpy()) / np.diff(hull["start"].to_numpy(float)) if len(hull) > 1 else np.empty(0)
+    return hull.assign(slope_lo=np.append(-np.inf, slopes)[: len(hull)], slope_hi=np.append(slopes, np.inf)[: len(hull)])
 
 
-def _suffix_hulls(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each block, the lower hull of everything in later blocks."""
-    rows = rows.sort_values("start")
-    later, out = rows.iloc[:0], [rows.iloc[:0]]
-    for block in sorted(rows["block"].unique(), reverse=True):
-        if len(later):
-            out.append(later.assign(block=block))
-        both = pd.concat([rows[rows["block"] == block], later])
-        later = both.iloc[_lower_hull(both["start"].to_numpy(float), both["dist"].to_numpy())]
-    return pd.concat(out)
+def _later_vertices(points: DataFrame, hulls: DataFrame) -> DataFrame:
+    """For each block, the hull vertices of later blocks that can matter to it.
+
+    Below a chord of slope s the deepest point of a hull is the vertex whose edges
+    have slopes on either side of s, so a block needs only the vertices that fit the
+    slopes of its own chords. The table of blocks is small (see ``with_positions``).
+    """
+    last = F.col("total") - 1
+    end = F.least(F.col("start") + F.col("n") - 1, last - 2)
+    height = F.col("y_last") - F.col("dist")
+    ranges = points.filter(F.col("start") <= last - 2).groupBy("term", F.col("block").alias("for_block")).agg(
+        (F.min(height / (last - end)) * (1 + 1e-9)).alias("chord_lo"),
+        (F.max(height / (last - F.col("start"))) * (1 - 1e-9)).alias("chord_hi"),
+    )
+    fits = (F.col("slope_lo") <= F.col("chord_hi")) & (F.col("slope_hi") >= F.col("chord_lo"))
+    pairs = hulls.join(F.broadcast(ranges), "term").filter((F.col("block") > F.col("for_block")) & fits)
+    return pairs.select("term", F.col("for_block").alias("block"), "start", "dist")
 
 
 def _far_flags(rows: pd.DataFrame, later: pd.DataFrame | None, threshold: float) -> pd.DataFrame:
@@ -128,7 +136,7 @@ def far_flags(curve: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HO
     """Flags of :func:`_far_flags` for every keyword: ``term, i, dist, far, coarse``.
 
     The curve is processed in blocks of bounded size; a block sees the later ones
-    only through their lower hull.
+    only through vertices of their lower hulls.
     """
     points = with_positions(stage(curve, "curve"), ["term"], "dist", hot_rows=hot_rows, keep_block=True)
     points = stage(points, "positions")
@@ -136,9 +144,9 @@ def far_flags(curve: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HO
     blocks = points.groupBy("term", "block")
     if points.filter(F.col("block") > 0).isEmpty():
         return blocks.applyInPandas(lambda rows: _far_flags(rows, None, threshold), schema)
-    vertex = "term string, block int, start long, dist double"
-    hulls = blocks.applyInPandas(_block_hull, vertex).groupBy("term").applyInPandas(_suffix_hulls, vertex)
-    pairs = blocks.cogroup(hulls.groupBy("term", "block"))
+    vertex = "term string, block int, start long, dist double, slope_lo double, slope_hi double"
+    later = _later_vertices(points, stage(blocks.applyInPandas(_block_hull, vertex), "hulls"))
+    pairs = blocks.cogroup(later.groupBy("term", "block"))
     return pairs.applyInPandas(
         lambda rows, later: _far_flags(rows, later, threshold) if len(rows) else pd.DataFrame(columns=["term", "i", "dist", "far", "coarse"]),
         schema,
