@@ -9,6 +9,8 @@ connected components of the graph of core cells.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,14 +58,43 @@ def _within_eps(queries: DataFrame, placed: DataFrame, rows: int | None, hot_row
     return pairs.filter(d <= eps)
 
 
-def eps_neighbours(locations: DataFrame, eps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def eps_neighbours(
+    locations: DataFrame, eps: DataFrame, box_pairs: int = BOX_PAIRS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Number of points within the radius of each place, one point of the place itself
-    left out: ``term, lon, lat, neighbours``."""
+    left out: ``term, lon, lat, neighbours``.
+
+    A box of places that lies within the radius of another box as a whole counts
+    with its weight. Pairs of boxes that the radius cuts through are compared place
+    by place when small, and split into finer boxes otherwise.
+    """
     locations = stage(locations, "locations")
-    placed = with_radius(locations, stage(eps, "eps"))
-    pairs = _within_eps(placed, placed, locations.count(), hot_rows)
-    counts = pairs.groupBy("term", "q_lon", "q_lat").agg((F.sum("w") - 1).alias("neighbours"))
-    return counts.select("term", F.col("q_lon").alias("lon"), F.col("q_lat").alias("lat"), "neighbours")
+    places = with_radius(locations, stage(eps, "eps")).withColumn("box", F.lit(0).cast("bigint"))
+    places = stage(places, "placed")
+    boxes = stage(_box_stats(places, [*CELL, "box"]), "cells")
+    extra, counts = ["box", "w", "eps"], []
+    reach = m_to_degree(F.col("a_eps"))
+    cover = explode_sphere_cover(
+        _ends(boxes, "a", extra), _side(F.col("a_eps")), reach, "a_lat_lo", "a_lat_hi", "a_lon_lo", "a_lon_hi"
+    ).withColumnsRenamed({"row": "b_row", "col": "b_col"})
+    pairs = cover.join(_ends(boxes, "b", ["box", "w"]), ["term", "b_row", "b_col"])
+    for depth in range(MAX_DEPTH + 1):
+        pairs = stage(_judge(pairs.withColumnRenamed("a_eps", "eps")), "box_pairs")
+        whole = pairs.filter("linked").groupBy("term", "a_row", "a_col", "a_box").agg(F.sum("b_w").alias("near"))
+        whole = whole.withColumnsRenamed({"a_row": "row", "a_col": "col", "a_box": "box"})
+        counts.append(salted_join(places, whole, [*CELL, "box"], ["lon", "lat"], hot_rows=hot_rows).select(*PLACE, "near"))
+        small = (F.col("a_m") * F.col("b_m") <= box_pairs) | F.lit(depth == MAX_DEPTH)
+        cut = _close_places(pairs.filter(~F.col("linked") & small), places, ["box"])
+        cut = cut.groupBy("term", F.col("a_lon").alias("lon"), F.col("a_lat").alias("lat"))
+        counts.append(cut.agg(F.sum("b_w").alias("near")).select(*PLACE, "near"))
+        large = pairs.filter(~F.col("linked") & ~small).select(*PAIR, "a_box", "b_box")
+        if large.isEmpty():
+            break
+        places, boxes = _finer_boxes(places, boxes, large, hot_rows)
+        pairs = _finer_pairs(large, boxes, extra, ["box", "w"])
+        places, boxes = places.drop("parent"), boxes.drop("parent")
+    total = reduce(DataFrame.unionByName, counts).groupBy(*PLACE)
+    return total.agg((F.sum("near") - 1).alias("neighbours"))
 
 
 def core_points(
@@ -92,6 +123,7 @@ def _box_stats(places: DataFrame, keys: list[str]) -> DataFrame:
     return places.groupBy(*keys).agg(
         F.first("eps").alias("eps"),
         F.count(F.lit(1)).alias("m"),
+        F.sum("w").alias("w"),
         F.min("lat").alias("lat_lo"),
         F.max("lat").alias("lat_hi"),
         F.min("lon").alias("lon_lo"),
@@ -113,18 +145,33 @@ def _ends(stats: DataFrame, end: str, extra: list[str]) -> DataFrame:
     return stats.select("term", *keys, *[F.col(c).alias(f"{end}_{c}") for c in names])
 
 
-def _compare_places(pairs: DataFrame, places: DataFrame, extra: list[str]) -> DataFrame:
-    """Pairs of small boxes that hold two core places within the radius."""
+def _close_places(pairs: DataFrame, places: DataFrame, extra: list[str]) -> DataFrame:
+    """Pairs of places within the radius, over pairs of small boxes."""
 
     def end(name: str) -> DataFrame:
         keys = [F.col(c).alias(f"{name}_{c}") for c in ("row", "col", *extra)]
-        return places.select("term", *keys, F.col("lon").alias(f"{name}_lon"), F.col("lat").alias(f"{name}_lat"))
+        return places.select("term", *keys, *[F.col(c).alias(f"{name}_{c}") for c in ("lon", "lat", "w")])
 
     keys = ["row", "col", *extra]
     slim = pairs.select(*PAIR, *[f"{e}_{c}" for e in "ab" for c in extra], "eps")
     both = slim.join(end("a"), ["term", *[f"a_{c}" for c in keys]]).join(end("b"), ["term", *[f"b_{c}" for c in keys]])
     d = distance_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return both.filter(d <= F.col("eps")).select(*PAIR).distinct()
+    return both.filter(d <= F.col("eps"))
+
+
+def _finer_boxes(places: DataFrame, boxes: DataFrame, large: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Places and statistics of the boxes of unsettled pairs, one level finer."""
+    ends = large.select("term", F.col("a_row").alias("row"), F.col("a_col").alias("col"), F.col("a_box").alias("box"))
+    ends = ends.union(large.select("term", "b_row", "b_col", "b_box")).distinct()
+    places = stage(_split_boxes(places, boxes.join(ends, [*CELL, "box"]), hot_rows), "boxes")
+    return places, stage(_box_stats(places, [*CELL, "parent", "box"]), "box_stats")
+
+
+def _finer_pairs(large: DataFrame, boxes: DataFrame, a_extra: list[str], b_extra: list[str]) -> DataFrame:
+    """Pairs of the finer boxes of unsettled pairs: a bounded number per pair."""
+    pairs = large.withColumnsRenamed({"a_box": "a_parent", "b_box": "b_parent"})
+    pairs = pairs.join(_ends(boxes, "a", ["parent", *a_extra]), ["term", "a_row", "a_col", "a_parent"])
+    return pairs.join(_ends(boxes, "b", ["parent", *b_extra]), ["term", "b_row", "b_col", "b_parent"])
 
 
 def _cell_links(core: DataFrame, cells: DataFrame, box_pairs: int, hot_rows: int) -> DataFrame:
@@ -133,48 +180,37 @@ def _cell_links(core: DataFrame, cells: DataFrame, box_pairs: int, hot_rows: int
     Bounding boxes settle most pairs. What they leave open is compared place by
     place when small, and otherwise split into finer boxes, level by level.
     """
-    side, reach = _side(F.col("eps")), m_to_degree(F.col("eps"))
-    start = cells.select(
-        "term", F.col("row").alias("a_row"), F.col("col").alias("a_col"), "eps", F.col("m").alias("a_m"),
-        *[c.alias("a_" + name) for name, c in _box().items()],
-    )
-    cover = explode_sphere_cover(start, side, reach, "a_lat_lo", "a_lat_hi", "a_lon_lo", "a_lon_hi")
-    cover = cover.withColumnsRenamed({"row": "b_row", "col": "b_col"})
+    side, reach = _side(F.col("a_eps")), m_to_degree(F.col("a_eps"))
+    cover = explode_sphere_cover(
+        _ends(cells, "a", ["eps"]), side, reach, "a_lat_lo", "a_lat_hi", "a_lon_lo", "a_lon_hi"
+    ).withColumnsRenamed({"row": "b_row", "col": "b_col"})
     ordered = F.struct("a_row", "a_col") < F.struct("b_row", "b_col")
     pairs = cover.filter(ordered).join(_ends(cells, "b", []), ["term", "b_row", "b_col"])
-    pairs = stage(_judge(pairs), "pairs")
+    pairs = stage(_judge(pairs.withColumnRenamed("a_eps", "eps")), "pairs")
     links = pairs.filter("linked").select(*PAIR)
     unsettled = pairs.filter(~F.col("linked"))
     small = F.col("a_m") * F.col("b_m") <= box_pairs
-    links = links.unionByName(_compare_places(unsettled.filter(small), core, []))
+    links = links.unionByName(_close_places(unsettled.filter(small), core, []).select(*PAIR).distinct())
     large = unsettled.filter(~small)
     if large.isEmpty():
         return links
 
-    places = core.select(*CELL, "lon", "lat", "eps", F.lit(0).cast("bigint").alias("box"))
-    boxes = _box_stats(places, [*CELL, "box"])
-    large = large.select(*PAIR, F.lit(0).cast("bigint").alias("a_box"), F.lit(0).cast("bigint").alias("b_box"))
+    box = F.lit(0).cast("bigint")
+    places, boxes = core.withColumn("box", box), cells.withColumn("box", box)
+    large = large.select(*PAIR, box.alias("a_box"), box.alias("b_box"))
     for depth in range(1, MAX_DEPTH + 1):
-        ends = large.select("term", F.col("a_row").alias("row"), F.col("a_col").alias("col"), F.col("a_box").alias("box"))
-        ends = ends.union(large.select("term", "b_row", "b_col", "b_box")).distinct()
-        parents = boxes.join(ends, [*CELL, "box"])
-        places = stage(_split_boxes(places, parents, hot_rows), "boxes")
-        boxes = stage(_box_stats(places, [*CELL, "parent", "box"]), "box_stats")
-        pairs = large.withColumnsRenamed({"a_box": "a_parent", "b_box": "b_parent"})
-        pairs = pairs.join(_ends(boxes, "a", ["parent", "box"]), ["term", "a_row", "a_col", "a_parent"])
-        pairs = pairs.join(_ends(boxes, "b", ["parent", "box"]), ["term", "b_row", "b_col", "b_parent"])
-        radius = cells.select("term", F.col("row").alias("a_row"), F.col("col").alias("a_col"), "eps")
-        pairs = stage(_judge(pairs.join(radius, ["term", "a_row", "a_col"])), "box_pairs")
+        places, boxes = _finer_boxes(places, boxes, large, hot_rows)
+        pairs = _finer_pairs(large, boxes, ["box", "eps"], ["box"])
+        pairs = stage(_judge(pairs.withColumnRenamed("a_eps", "eps")), "box_pairs")
         linked = pairs.filter("linked").select(*PAIR).distinct()
         links = links.unionByName(linked)
         unsettled = pairs.filter(~F.col("linked")).join(linked, PAIR, "left_anti")
         small = (F.col("a_m") * F.col("b_m") <= box_pairs) | F.lit(depth == MAX_DEPTH)
-        links = links.unionByName(_compare_places(unsettled.filter(small), places, ["box"]))
+        links = links.unionByName(_close_places(unsettled.filter(small), places, ["box"]).select(*PAIR))
         large = stage(unsettled.filter(~small).select(*PAIR, "a_box", "b_box"), "large")
         if large.isEmpty():
             break
-        boxes = boxes.drop("parent")
-        places = places.drop("parent")
+        places, boxes = places.drop("parent"), boxes.drop("parent")
     return links.distinct()
 
 
@@ -189,7 +225,7 @@ def _split_boxes(places: DataFrame, parents: DataFrame, hot_rows: int) -> DataFr
         return F.when(high > low, F.least(F.lit(SPLIT - 1), scaled)).otherwise(F.lit(0)).cast("bigint")
 
     finer = F.col("box") * SPLIT * SPLIT + part("lat") * SPLIT + part("lon")
-    return inside.select(*CELL, "lon", "lat", "eps", F.col("box").alias("parent"), finer.alias("box"))
+    return inside.select(*CELL, "lon", "lat", "w", "eps", F.col("box").alias("parent"), finer.alias("box"))
 
 
 def _local_roots(links: pd.DataFrame) -> pd.DataFrame:

@@ -165,12 +165,13 @@ def test_dbscan_is_exact(spark, locations, limits):
 def test_neighbour_counts(spark, locations):
     radii = spark.createDataFrame([("hot", 25.0), ("wrap", 400.0)], "term string, eps double")
     plain = cluster.eps_neighbours(locations, radii).collect()
-    salted = cluster.eps_neighbours(locations, radii, hot_rows=20).collect()
+    salted = cluster.eps_neighbours(locations, radii, box_pairs=2, hot_rows=20).collect()
     assert sorted(plain) == sorted(salted)
-    group = locations.filter("term = 'hot'").toPandas()
-    want = (distances(group.lat.to_numpy(), group.lon.to_numpy()) <= 25.0) @ group.w.to_numpy() - 1
-    have = {(r.lon, r.lat): r.neighbours for r in plain if r.term == "hot"}
-    assert [have[p] for p in zip(group.lon, group.lat)] == want.tolist()
+    for term, eps in (("hot", 25.0), ("wrap", 400.0)):
+        group = locations.filter(F.col("term") == term).toPandas()
+        want = (distances(group.lat.to_numpy(), group.lon.to_numpy()) <= eps) @ group.w.to_numpy() - 1
+        have = {(r.lon, r.lat): r.neighbours for r in plain if r.term == term}
+        assert [have[p] for p in zip(group.lon, group.lat)] == want.tolist()
 
 
 def test_largest_cluster_needs_more_than_min_pts(spark):
