@@ -620,7 +620,7 @@ def sequence_rules(spark, sf_dir):
 
 
 @query
-def pipeline(spark, sf_dir):
+def mobility_pipeline(spark, sf_dir):
     tables = jobs.pipeline(derived.posts(spark, sf_dir), stop_words=_stop(spark))
     return _rule_rows(tables["rules"], "confidence", "lift", "support")
 

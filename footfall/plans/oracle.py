@@ -435,7 +435,7 @@ ON f.lon_lo >= b.lon_lo AND f.lon_hi <= b.lon_hi AND f.lat_lo >= b.lat_lo AND f.
     "user_day_sequences": "SELECT username, day, string_agg(poi, '>' ORDER BY pos) AS sequence FROM ordered GROUP BY username, day",
     "frequent_sequences": "SELECT array_to_string(items, '>') AS items, freq FROM sequences",
     "sequence_rules": SEQUENCE_RULES,
-    "pipeline": """SELECT antecedent, consequent, round(confidence, 6) AS confidence, round(lift, 6) AS lift,
+    "mobility_pipeline": """SELECT antecedent, consequent, round(confidence, 6) AS confidence, round(lift, 6) AS lift,
   round(support, 6) AS support FROM w_set_rules""",
     "roi_job": ROI_AREAS,
     "trajectory_job": SEQUENCE_RULES,
