@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from footfall.llm import mixing, quality_rules, secret_scan
+from footfall.llm import (
+    decontaminate,
+    language_id,
+    mixing,
+    near_dedup,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    token_scan,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(parts: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``parts``; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(remainder(5) != 0), language_id.read_pieces())
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, by a separator scan of its flat token files."""
+    return token_scan.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document by pattern and by entropy."""
@@ -40,3 +82,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").filter(remainder(4) != 2)
+    scored = quality_model.score(table(spark, sf_dir, "documents"), labels)
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
