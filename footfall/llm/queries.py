@@ -15,6 +15,8 @@ from footfall.llm import (
     quality_model,
     quality_rules,
     secret_scan,
+    substring_dedup,
+    surrogates,
     token_scan,
 )
 
@@ -45,6 +47,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data."""
+    return surrogates.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, by a separator scan of its flat token files."""
@@ -84,6 +92,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that other documents hold too."""
+    return substring_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels that are not held out."""
