@@ -11,16 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.operators.joins import HOT_ROWS, hot_keys
+from footfall.operators.joins import HOT_ROWS, counted, hot_keys
 from footfall.session import stage
 
-MAX_BLOCKS = 10_000
-
 
 def histogram(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
     """Distinct values per key with their number ``n``."""
-    counted = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return df.groupBy(*keys, value).agg(counted.alias("n"))
+    number = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return df.groupBy(*keys, value).agg(number.alias("n"))
 
 
 def _with_blocks(hist: DataFrame, hot: DataFrame, keys: list[str], value: str, blocks: int) -> DataFrame:
@@ -28,12 +26,12 @@ def _with_blocks(hist: DataFrame, hot: DataFrame, keys: list[str], value: str, b
 
     Block limits are approximate quantiles. They steer only how the work is cut
     up, so they need not be exact; they are written down once so that every
-    reader sees the same ones. A key keeps limits in proportion to its rows, so all
-    keys together have a number of limits bounded by ``1 / HOT_SHARE``.
+    reader sees the same ones. A key keeps limits in proportion to its rows: about two
+    for each ``hot_rows`` rows of the table, whatever the number of keys.
     """
     share = [i / blocks for i in range(1, blocks)]
     quantiles = (
-        hist.join(F.broadcast(hot.select(*keys, "salts")), keys)
+        hist.join(counted(hot.select(*keys, "salts")), keys)
         .groupBy(*keys)
         .agg(F.percentile_approx(value, share, 10 * blocks).alias("quantiles"), F.first("salts").alias("salts"))
     )
@@ -42,7 +40,7 @@ def _with_blocks(hist: DataFrame, hot: DataFrame, keys: list[str], value: str, b
     limits = F.transform(at, lambda i: F.element_at("quantiles", i))
     limits = stage(quantiles.select(*keys, limits.alias("limits")), "limits")
     above = F.size(F.filter("limits", lambda limit: limit > F.col(value)))
-    return hist.join(F.broadcast(limits), keys, "left").withColumn(
+    return hist.join(counted(limits), keys, "left").withColumn(
         "block", F.when(F.col("limits").isNull(), F.lit(0)).otherwise(above)
     ).drop("limits")
 
@@ -79,7 +77,7 @@ def with_positions(
             F.min(value).over(by_key).alias("y_last"),
         )
     largest = hot.agg(F.max("salts")).first()[0]
-    blocked = _with_blocks(hist, hot, keys, value, min(MAX_BLOCKS, 2 * largest))
+    blocked = _with_blocks(hist, hot, keys, value, 2 * largest)
     per_block = blocked.groupBy(*keys, "block").agg(
         F.sum(weight).alias("block_n"), F.max(value).alias("block_max"), F.min(value).alias("block_min")
     )

@@ -11,27 +11,23 @@ from footfall.session import stage
 BROADCAST_ROWS = 200_000
 # No task should have to hold more rows of one key than this.
 HOT_ROWS = 1_000_000
-# Hot keys hold at least this share of a table, so there are never more than its inverse.
-HOT_SHARE = 1e-4
-
-
-def hot_limit(rows: int, hot_rows: int = HOT_ROWS) -> int:
-    """Rows from which on a key of a table of ``rows`` rows counts as hot."""
-    return max(hot_rows, int(rows * HOT_SHARE))
-
 
 def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys above the hot limit with their row count ``hot_n``, or None when there are none.
+    """Keys of more than ``hot_rows`` rows with their count ``hot_n``, or None when there are none.
 
-    The counts are aggregated before the shuffle. At most ``1 / HOT_SHARE`` keys
-    can be hot, so the result may be broadcast whatever the size of ``df``.
+    The limit is what a task may hold of one key and does not depend on the size of
+    ``df``. The counts are aggregated before the shuffle.
     """
     rows = df.count() if rows is None else rows
-    limit = hot_limit(rows, hot_rows)
-    if rows <= limit:
+    if rows <= hot_rows:
         return None
-    hot = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n")).filter(F.col("hot_n") > limit), "hot")
-    return None if hot.isEmpty() else hot.withColumn("salts", F.ceil(F.col("hot_n") / limit))
+    hot = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n")).filter(F.col("hot_n") > hot_rows), "hot")
+    return None if hot.isEmpty() else hot.withColumn("salts", F.ceil(F.col("hot_n") / hot_rows))
+
+
+def counted(small: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` with a broadcast hint if it was counted and is below the limit."""
+    return F.broadcast(small) if small.count() <= broadcast_rows else small
 
 
 def salted_join(
@@ -50,7 +46,7 @@ def salted_join(
     hot = hot_keys(split, keys, rows, hot_rows)
     if hot is None:
         return split.join(copied, keys)
-    small = F.broadcast(hot.select(*keys, "salts"))
+    small = counted(hot.select(*keys, "salts"))
     salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*salt_by), F.col("salts")))
     parts = split.join(small, keys, "left").withColumn("salt", salt.cast("bigint")).drop("salts")
     copies = (

@@ -16,17 +16,25 @@ def _model(baskets: DataFrame, min_support: float, min_confidence: float):
     return FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
 
 
+def itemsets_and_rules(
+    baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = SET_CONFIDENCE
+) -> tuple[DataFrame, DataFrame]:
+    """Both tables of one fit: those of :func:`frequent_itemsets` and :func:`association_rules`."""
+    model = _model(baskets, min_support, min_confidence)
+    sets = model.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
+    return sets, model.associationRules.withColumn("antecedent", F.sort_array("antecedent"))
+
+
 def frequent_itemsets(baskets: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
     """Place sets in at least ``min_support`` of the baskets: ``items`` (sorted), ``freq``."""
-    return _model(baskets, min_support, SET_CONFIDENCE).freqItemsets.select(F.sort_array("items").alias("items"), "freq")
+    return itemsets_and_rules(baskets, min_support)[0]
 
 
 def association_rules(
     baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = SET_CONFIDENCE
 ) -> DataFrame:
     """Rules with one consequent: ``antecedent, consequent, confidence, lift, support``."""
-    rules = _model(baskets, min_support, min_confidence).associationRules
-    return rules.withColumn("antecedent", F.sort_array("antecedent"))
+    return itemsets_and_rules(baskets, min_support, min_confidence)[1]
 
 
 def frequent_sequences(

@@ -10,7 +10,6 @@ from footfall.operators.text import explode_tags
 
 PLACE = ["term", "lon", "lat"]
 MIN_POINTS = 50
-POINT_CAP = 5000
 # One hash bucket should hold about this many points of a keyword.
 BUCKET_ROWS = 65_536
 HASH_BITS = 31
@@ -42,8 +41,9 @@ def sample_order() -> list:
     return [mixed, F.col("post_id"), F.col("pos")]
 
 
-def cap_points(points: DataFrame, cap: int | None = POINT_CAP) -> DataFrame:
-    """At most ``cap`` points of each keyword, drawn in a fixed pseudo-random order.
+def cap_points(points: DataFrame, cap: int | None) -> DataFrame:
+    """A sample that the caller asks for: at most ``cap`` points of each keyword, drawn
+    in a fixed pseudo-random order. Nothing else in the package samples by default.
 
     The hash range is cut into buckets of about ``BUCKET_ROWS`` points, counted
     per keyword. Buckets below the one in which the cap falls are kept without

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.operators.curves import elbow, histogram, with_positions
-from footfall.operators.joins import HOT_ROWS, lookup_join
+from footfall.operators.joins import HOT_ROWS, counted, lookup_join
 from footfall.session import stage
 
 THRESHOLD = 0.27
@@ -67,7 +67,7 @@ def _later_vertices(points: DataFrame, hulls: DataFrame) -> DataFrame:
 
     Below a chord of slope s the deepest point of a hull is the vertex whose edges
     have slopes on either side of s, so a block needs only the vertices that fit the
-    slopes of its own chords. The table of blocks is small (see ``with_positions``).
+    slopes of its own chords. Only keywords with several blocks take part.
     """
     last = F.col("total") - 1
     end = F.least(F.col("start") + F.col("n") - 1, last - 2)
@@ -77,7 +77,9 @@ def _later_vertices(points: DataFrame, hulls: DataFrame) -> DataFrame:
         (F.max(height / (last - F.col("start"))) * (1 - 1e-9)).alias("chord_hi"),
     )
     fits = (F.col("slope_lo") <= F.col("chord_hi")) & (F.col("slope_hi") >= F.col("chord_lo"))
-    pairs = hulls.join(F.broadcast(ranges), "term").filter((F.col("block") > F.col("for_block")) & fits)
+    several = stage(points.filter(F.col("block") > 0).select("term").distinct(), "several")
+    ranges = ranges.join(counted(several), "term", "left_semi")
+    pairs = hulls.join(counted(stage(ranges, "ranges")), "term").filter((F.col("block") > F.col("for_block")) & fits)
     return pairs.select("term", F.col("for_block").alias("block"), "start", "dist")
 
 

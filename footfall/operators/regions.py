@@ -13,7 +13,7 @@ from footfall.functions.geo import RING_TYPE, closed
 from footfall.operators.cluster import MIN_PTS, dbscan, largest_cluster
 from footfall.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join
 from footfall.operators.knn import NEIGHBOURS, distance_curve, knn_distance
-from footfall.operators.points import MIN_POINTS, POINT_CAP, cap_points, keyword_points, min_points, weighted_locations
+from footfall.operators.points import MIN_POINTS, cap_points, keyword_points, min_points, weighted_locations
 from footfall.operators.radius import THRESHOLD, eps_threshold
 from footfall.session import stage
 
@@ -87,7 +87,7 @@ def cluster_places(clusters: DataFrame, best: DataFrame) -> DataFrame:
 def extract_rois(
     posts: DataFrame,
     keywords: DataFrame,
-    cap: int | None = POINT_CAP,
+    cap: int | None = None,
     neighbours: int = NEIGHBOURS,
     threshold: float = THRESHOLD,
     min_pts: int = MIN_PTS,
@@ -97,8 +97,8 @@ def extract_rois(
 ) -> DataFrame:
     """Region of each keyword that has one: ``poi, ring``.
 
-    ``cap`` draws at most that many points per keyword before anything is measured,
-    as a fixed sample; ``None`` uses them all through the same distributed steps.
+    All points are used. A caller may ask for a fixed sample of at most ``cap`` points
+    per keyword, which goes through the same steps.
     """
     points = stage(keyword_points(posts, keywords, broadcast_rows), "points")
     points = min_points(points, minimum)

@@ -6,12 +6,14 @@ which it covers a handful of cells. Only the levels that occur are used.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from footfall.functions.geo import (
+    BORDER,
     area_km2,
     distance_m,
     m_to_degree,
@@ -87,15 +89,51 @@ def point_in_roi(
     return pairs.filter(hit).drop("ring", "box")
 
 
-def _crosses(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Whether two segments cross at a point inside both."""
+def _xy(ring: list) -> np.ndarray:
+    return np.array([(v["lon"], v["lat"]) for v in ring])
 
-    def turn(p: Column, q: Column, r: Column) -> Column:
-        return (q["lon"] - p["lon"]) * (r["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (r["lon"] - p["lon"])
 
-    return (F.signum(turn(a, b, c)) * F.signum(turn(a, b, d)) < 0) & (
-        F.signum(turn(c, d, a)) * F.signum(turn(c, d, b)) < 0
-    )
+def _holds(ring: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Even-odd test of points against a closed ring; within ``BORDER`` of an edge counts as inside."""
+    a, edge = ring[:-1], np.diff(ring, axis=0)
+    rel = points[:, None, :] - a[None]
+    turn = edge[:, 0] * rel[:, :, 1] - edge[:, 1] * rel[:, :, 0]
+    square = np.maximum((edge**2).sum(axis=1), 1e-300)
+    along = np.clip((rel * edge).sum(axis=2) / square, 0, 1)
+    near = ((rel - along[:, :, None] * edge) ** 2).sum(axis=2) <= BORDER**2
+    above = a[None, :, 1] > points[:, None, 1]
+    spans = above != (ring[None, 1:, 1] > points[:, None, 1])
+    odd = (spans & np.where(edge[:, 1] > 0, turn > 0, turn < 0)).sum(axis=1) % 2 == 1
+    return odd | near.any(axis=1)
+
+
+def _is_within(inner: np.ndarray, ring: np.ndarray) -> bool:
+    """Whether no part of ``inner`` leaves ``ring``.
+
+    Every inner edge is cut where it meets an edge of the container, end points
+    included. Between two cuts it stays on one side, so the middles of the pieces tell.
+    """
+    if not _holds(ring, inner).all():
+        return False
+    c, d = ring[:-1], np.diff(ring, axis=0)
+    for p, q in zip(inner, inner[1:]):
+        e = q - p
+        cross = e[0] * d[:, 1] - e[1] * d[:, 0]
+        rel = c - p
+        meets = np.abs(cross) > 0
+        t = (rel[meets, 0] * d[meets, 1] - rel[meets, 1] * d[meets, 0]) / cross[meets]
+        square = e @ e
+        corners = (rel @ e) / square if square > 0 else np.empty(0)  # for edges on one line
+        cuts = np.unique(np.concatenate([[0.0, 1.0], t[(t > 0) & (t < 1)], corners[(corners > 0) & (corners < 1)]]))
+        middles = (cuts[1:] + cuts[:-1]) / 2
+        if not _holds(ring, p + middles[:, None] * e).all():
+            return False
+    return True
+
+
+@F.pandas_udf(BooleanType())
+def _within(inners: pd.Series, rings: pd.Series) -> pd.Series:
+    return pd.Series([_is_within(_xy(a), _xy(b)) for a, b in zip(inners, rings)], dtype="bool")
 
 
 def roi_within_roi(
@@ -104,8 +142,7 @@ def roi_within_roi(
     """Pairs ``inner_poi, poi`` of a region inside another one; equal regions count.
 
     A region inside another has the corner of its box in the other's box, so the
-    candidates are found like points. Then all vertices must lie inside and no
-    edges may cross.
+    candidates are found like points. Rings may be concave.
     """
     corners = _with_box(inner).select(
         F.col("poi").alias("inner_poi"),
@@ -118,18 +155,7 @@ def roi_within_roi(
     pairs = pairs.filter(
         (F.col("inner_box.lon_hi") <= F.col("box.lon_hi")) & (F.col("inner_box.lat_hi") <= F.col("box.lat_hi"))
     )
-    inside = F.forall("inner_ring", lambda v: ring_contains(F.col("ring"), v["lon"], v["lat"]))
-    inner_ring, ring = F.col("inner_ring"), F.col("ring")
-    crossing = F.exists(
-        F.sequence(F.lit(2), F.size("inner_ring")),
-        lambda i: F.exists(
-            F.sequence(F.lit(2), F.size("ring")),
-            lambda j: _crosses(
-                F.element_at(inner_ring, i - 1), F.element_at(inner_ring, i), F.element_at(ring, j - 1), F.element_at(ring, j)
-            ),
-        ),
-    )
-    return pairs.filter(inside & ~crossing).select("inner_poi", "poi")
+    return pairs.filter(_within(F.col("inner_ring"), F.col("ring"))).select("inner_poi", "poi")
 
 
 def _clip(subject: list, convex: list) -> list:
@@ -159,56 +185,78 @@ def _twice_area(ring: list) -> float:
     )
 
 
+def _common_area(subject: list, other: list) -> float:
+    """Common area of two simple rings, concave or not.
+
+    The second ring is the sum of the signed triangles of its first vertex and each of
+    its edges; the first ring is clipped by each triangle.
+    """
+    subject, total = subject[:-1], 0.0
+    for p, q in zip(other[1:], other[2:]):
+        triangle = [other[0], p, q, other[0]]
+        turn = _twice_area(triangle)
+        if turn == 0:
+            continue
+        part = _clip(subject, triangle if turn > 0 else triangle[::-1])
+        if len(part) > 2:
+            total += abs(_twice_area(part)) if turn > 0 else -abs(_twice_area(part))
+    return abs(total) / 2.0
+
+
 @F.pandas_udf(DoubleType())
-def _overlap(subjects: pd.Series, convexes: pd.Series) -> pd.Series:
+def _overlap(subjects: pd.Series, others: pd.Series) -> pd.Series:
     areas = []
-    for subject, convex in zip(subjects, convexes):
-        if subject is None or convex is None:
+    for subject, other in zip(subjects, others):
+        if subject is None or other is None:
             areas.append(None)
             continue
-        ring = [(v["lon"], v["lat"]) for v in convex]
-        if _twice_area(ring) < 0:
-            ring.reverse()
-        part = _clip([(v["lon"], v["lat"]) for v in subject][:-1], ring)
-        areas.append(abs(_twice_area(part)) / 2.0 if len(part) > 2 else 0.0)
+        areas.append(_common_area([(v["lon"], v["lat"]) for v in subject], [(v["lon"], v["lat"]) for v in other]))
     return pd.Series(areas, dtype="float64")
 
 
-def overlap_area(subject: Column, convex: Column) -> Column:
-    """Common area in square degrees of a closed ring and a closed convex ring."""
-    return _overlap(subject, convex)
+def overlap_area(ring: Column, other: Column) -> Column:
+    """Common area in square degrees of two closed simple rings."""
+    return _overlap(ring, other)
 
 
-def roi_overlap(rois: DataFrame, convex: DataFrame) -> DataFrame:
-    """Regions that share area with convex regions: ``poi, other_poi, area`` in square degrees.
+def overlap_candidates(rois: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of regions whose boxes meet: ``poi, ring, other_poi, other_ring``, each once.
 
-    Both sides are laid out on every level in use from their own upwards. A pair is
-    taken on the higher of its two levels, in the cell of the corner where the boxes
-    start to overlap, so it appears once.
+    A pair meets on the higher of its two levels, in the cell of the corner where the
+    boxes start to overlap. Regions wait on their own level for the other side's
+    smaller ones, which alone are laid out on higher levels: two small regions never
+    meet in a large cell.
     """
     left = stage(_with_box(rois.select("poi", "ring")), "left")
-    right = stage(_with_box(convex.select("poi", "ring")), "right")
+    right = stage(_with_box(others.select("poi", "ring")), "right")
     levels = F.array(*[F.lit(level) for level in sorted({*_levels(left), *_levels(right)}) or [0]])
 
-    def spread(boxed: DataFrame) -> DataFrame:
-        usable = F.filter(levels, lambda level: level >= F.col("own_level"))
+    def climbing(boxed: DataFrame, least: Column) -> DataFrame:
+        usable = F.filter(levels, lambda level: level >= least)
         return _explode_cells(boxed.select("*", F.explode(usable).alias("at")), F.col("at")).drop("at")
 
-    other = spread(right).withColumnsRenamed(
-        {"poi": "other_poi", "ring": "other_ring", "box": "other_box", "own_level": "other_level"}
-    )
-    pairs = spread(left).join(other, GRID)
+    def named(boxed: DataFrame) -> DataFrame:
+        return boxed.withColumnsRenamed({"poi": "other_poi", "ring": "other_ring", "box": "other_box", "own_level": "other_level"})
+
+    own = F.col("own_level")
+    resting = _explode_cells(left, own).join(named(climbing(right, own)), GRID)
+    rising = climbing(left, own + 1).join(named(_explode_cells(right, own)), GRID)
     x = F.greatest("box.lon_lo", "other_box.lon_lo")
     y = F.greatest("box.lat_lo", "other_box.lat_lo")
     once = (
-        (F.col("level") == F.greatest("own_level", "other_level"))
-        & (_cell(y, F.col("level")) == F.col("gy"))
+        (_cell(y, F.col("level")) == F.col("gy"))
         & (_cell(x, F.col("level")) == F.col("gx"))
         & (x <= F.least("box.lon_hi", "other_box.lon_hi"))
         & (y <= F.least("box.lat_hi", "other_box.lat_hi"))
     )
+    return resting.unionByName(rising).filter(once).select("poi", "ring", "other_poi", "other_ring")
+
+
+def roi_overlap(rois: DataFrame, others: DataFrame) -> DataFrame:
+    """Regions that share area with other regions: ``poi, other_poi, area`` in square degrees."""
     area = overlap_area(F.col("ring"), F.col("other_ring"))
-    return pairs.filter(once).select("poi", "other_poi", area.alias("area")).filter(F.col("area") > 0)
+    pairs = overlap_candidates(rois, others)
+    return pairs.select("poi", "other_poi", area.alias("area")).filter(F.col("area") > 0)
 
 
 def roi_area(rois: DataFrame, planar: bool = False) -> DataFrame:
@@ -217,7 +265,7 @@ def roi_area(rois: DataFrame, planar: bool = False) -> DataFrame:
 
 
 def roi_quality(real: DataFrame, found: DataFrame) -> DataFrame:
-    """How well found (convex) regions match the real ones of the same name.
+    """How well found regions match the real ones of the same name.
 
     ``tp`` is the common area, ``fp`` the rest of the found and ``fn`` the rest of
     the real region, in square degrees. Real regions without a match keep null

@@ -419,7 +419,7 @@ def elbow_min_gap(spark, sf_dir):
 @query
 def cap_points(spark, sf_dir):
     found = points.keyword_points(derived.posts(spark, sf_dir), _keywords(spark, "rome"))
-    return points.cap_points(stage(found, "points")).select("term", "post_id", "pos")
+    return points.cap_points(stage(found, "points"), 5000).select("term", "post_id", "pos")
 
 
 def _eps(spark, locations):
@@ -483,6 +483,22 @@ def extract_rois_uncapped(spark, sf_dir):
     return _area(regions.extract_rois(derived.posts(spark, sf_dir), _keywords(spark), cap=None), "poi")
 
 
+def _vertices(rings: DataFrame, name: str) -> DataFrame:
+    """One row per corner of each closed ring."""
+    corners = rings.select(name, F.explode(F.slice("ring", 2, F.size("ring") - 1)).alias("v"))
+    return corners.select(name, _r(F.col("v.lon"), 9, "lon"), _r(F.col("v.lat"), 9, "lat"))
+
+
+@query
+def convex_hull_vertices(spark, sf_dir):
+    return _vertices(regions.convex_hull(_locations(spark, sf_dir)), "term")
+
+
+@query
+def extract_rois_vertices(spark, sf_dir):
+    return _vertices(regions.extract_rois(derived.posts(spark, sf_dir), _keywords(spark)), "poi")
+
+
 # Spatial joins.
 
 
@@ -503,6 +519,32 @@ def roi_overlap(spark, sf_dir):
     return shared.select("poi", "other_poi", _r(F.col("area") * 1000000.0, 6, "micro_square_degrees"))
 
 
+def _ells(boxes: DataFrame) -> DataFrame:
+    """L-shaped regions: the boxes without their north-eastern quarter."""
+    corner = {"x0": F.col("ring")[0]["lon"], "y0": F.col("ring")[0]["lat"], "x1": F.col("ring")[2]["lon"], "y1": F.col("ring")[2]["lat"]}
+    cut = boxes.select("poi", *[c.alias(n) for n, c in corner.items()]).selectExpr("*", "(x0 + x1) / 2 AS xm", "(y0 + y1) / 2 AS ym")
+    corners = [("x0", "y0"), ("x1", "y0"), ("x1", "ym"), ("xm", "ym"), ("xm", "y1"), ("x0", "y1"), ("x0", "y0")]
+    ring = F.array(*[F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for x, y in corners])
+    return cut.select("poi", ring.alias("ring"))
+
+
+@query
+def roi_within_concave(spark, sf_dir):
+    return spatial.roi_within_roi(_place_boxes(spark, sf_dir, "foto"), _ells(_place_boxes(spark, sf_dir)))
+
+
+@query
+def roi_overlap_concave(spark, sf_dir):
+    shared = spatial.roi_overlap(_ells(_place_boxes(spark, sf_dir, "foto")), _ells(_place_boxes(spark, sf_dir)))
+    area = _r(F.col("area") * 1000000.0, 6, "micro_square_degrees")
+    return shared.select("poi", "other_poi", area).filter("micro_square_degrees > 0")
+
+
+@query
+def roi_quality_concave(spark, sf_dir):
+    return _quality_rows(spatial.roi_quality(_place_boxes(spark, sf_dir), _ells(_place_boxes(spark, sf_dir, "foto"))))
+
+
 @query
 def within_radius(spark, sf_dir):
     corner = F.col("ring")[0]

@@ -10,14 +10,12 @@ from footfall.operators.patterns import (
     MIN_SUPPORT,
     SEQUENCE_CONFIDENCE,
     SET_CONFIDENCE,
-    association_rules,
-    frequent_itemsets,
     frequent_sequences,
+    itemsets_and_rules,
     sequence_rules,
 )
-from footfall.operators.points import POINT_CAP
 from footfall.operators.regions import extract_rois
-from footfall.operators.trajectories import transactions, user_day_places, user_day_sequences, visits
+from footfall.operators.trajectories import rejected_dates, transactions, user_day_places, user_day_sequences, visits
 from footfall.session import stage
 from footfall.sources.kml import read_roi_kml
 from footfall.sources.posts import read_posts, read_terms
@@ -29,11 +27,12 @@ def pipeline(
     stop_words: DataFrame | None = None,
     rois: DataFrame | None = None,
     size_m: float = 200,
-    cap: int | None = POINT_CAP,
+    cap: int | None = None,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = SET_CONFIDENCE,
 ) -> dict[str, DataFrame]:
-    """Keywords, regions, frequent place sets and rules of ``posts``.
+    """Keywords, regions, frequent place sets and rules of ``posts``, and the posts
+    ``rejected`` because their date does not parse.
 
     Given ``keywords`` or ``rois`` replace the steps that would compute them.
     """
@@ -44,11 +43,8 @@ def pipeline(
             keywords = stage(keywords_lcurve(posts, stop_words, size_m), "keywords")
         rois = stage(extract_rois(posts, keywords, cap), "rois")
     baskets = stage(transactions(user_day_places(visits(posts, rois))), "baskets")
-    tables = {
-        "rois": rois,
-        "itemsets": frequent_itemsets(baskets, min_support),
-        "rules": association_rules(baskets, min_support, min_confidence),
-    }
+    itemsets, rules = itemsets_and_rules(baskets, min_support, min_confidence)
+    tables = {"rois": rois, "itemsets": itemsets, "rules": rules, "rejected": rejected_dates(posts)}
     return tables if keywords is None else {"keywords": keywords, **tables}
 
 
@@ -58,6 +54,7 @@ def mobility_job(
     keywords_path: str | None = None,
     stop_words_path: str | None = None,
     rois_path: str | None = None,
+    bounds: tuple[float, float, float, float] | None = None,
     **options,
 ) -> dict[str, DataFrame]:
     """:func:`pipeline` over files: posts by extension, word lists as text, regions as KML.
@@ -65,7 +62,7 @@ def mobility_job(
     The steps read the posts up to three times, so JSON is parsed once and continued
     from columnar form.
     """
-    posts = read_posts(spark, dataset_path)
+    posts = read_posts(spark, dataset_path, bounds)
     if not rois_path and dataset_path.rstrip("/").lower().endswith("json"):
         posts = stage(posts, "posts")
     return pipeline(
@@ -77,7 +74,7 @@ def mobility_job(
     )
 
 
-def roi_job(spark: SparkSession, dataset_path: str, keywords_path: str, cap: int | None = POINT_CAP) -> DataFrame:
+def roi_job(spark: SparkSession, dataset_path: str, keywords_path: str, cap: int | None = None) -> DataFrame:
     """Regions of the keywords of a file."""
     return extract_rois(read_posts(spark, dataset_path), read_terms(spark, keywords_path), cap)
 
@@ -95,11 +92,13 @@ def trajectory_rules(
     sequences = stage(user_day_sequences(visit_rows), "sequences")
     baskets = stage(transactions(user_day_places(visit_rows)), "baskets")
     patterns = stage(frequent_sequences(sequences, min_support, max_length), "patterns")
+    itemsets, rules = itemsets_and_rules(baskets, min_support, set_confidence)
     return {
         "sequences": patterns,
         "sequence_rules": sequence_rules(patterns, sequence_confidence),
-        "itemsets": frequent_itemsets(baskets, min_support),
-        "rules": association_rules(baskets, min_support, set_confidence),
+        "itemsets": itemsets,
+        "rules": rules,
+        "rejected": rejected_dates(posts),
     }
 
 

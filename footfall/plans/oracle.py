@@ -59,7 +59,7 @@ CTES: dict[str, str] = {
      CASE WHEN g.event_id % 5 = 1 THEN concat('img', CAST(g.event_id AS VARCHAR(20))) END,
      CASE WHEN g.event_id % 50 = 8 THEN '罗马' END,
      CASE WHEN g.event_id % 40 = 6 THEN 'new-york' END) END) AS tag_text
-FROM g JOIN part pt ON pt.p_partkey = g.event_id % 200""",
+FROM g JOIN part pt ON pt.p_partkey = g.event_id % (SELECT count(*) FROM part)""",
     "posts": "SELECT * FROM raw_posts WHERE latitude > 0 AND longitude > 0 AND tag_text <> ''",
     "tags": """SELECT post_id, latitude, longitude, username, posted_ts,
   unnest(string_split(tag_text, ' ')) AS tag,
@@ -215,6 +215,17 @@ CTES["quality"] = """SELECT b.poi, f.poi IS NOT NULL AS matched,
   (f.lon_hi - f.lon_lo) * (f.lat_hi - f.lat_lo) AS found, (b.lon_hi - b.lon_lo) * (b.lat_hi - b.lat_lo) AS real_area
 FROM boxes b LEFT JOIN foto_boxes f ON f.poi = b.poi"""
 
+for _table in ("boxes", "foto_boxes"):
+    CTES[f"{_table}_ells"] = f"""SELECT poi, lon_lo AS x0, lat_lo AS y0, lon_hi AS x1, (lat_lo + lat_hi) / 2 AS y1 FROM {_table}
+UNION ALL SELECT poi, lon_lo, (lat_lo + lat_hi) / 2, (lon_lo + lon_hi) / 2, lat_hi FROM {_table}"""
+CTES["ell_pairs"] = """SELECT f.poi, b.poi AS other_poi, sum(greatest(0.0e0, least(f.x1, b.x1) - greatest(f.x0, b.x0))
+  * greatest(0.0e0, least(f.y1, b.y1) - greatest(f.y0, b.y0))) AS area
+FROM foto_boxes_ells f JOIN boxes_ells b ON f.x0 < b.x1 AND b.x0 < f.x1 AND f.y0 < b.y1 AND b.y0 < f.y1 GROUP BY f.poi, b.poi"""
+CTES["ell_quality"] = """SELECT b.poi, f.poi IS NOT NULL AS matched, sum((least(f.x1, b.lon_hi) - greatest(f.x0, b.lon_lo))
+  * (least(f.y1, b.lat_hi) - greatest(f.y0, b.lat_lo))) AS tp, sum((f.x1 - f.x0) * (f.y1 - f.y0)) AS found,
+  (b.lon_hi - b.lon_lo) * (b.lat_hi - b.lat_lo) AS real_area
+FROM boxes b LEFT JOIN foto_boxes_ells f ON f.poi = b.poi GROUP BY b.poi, f.poi, b.lon_lo, b.lon_hi, b.lat_lo, b.lat_hi"""
+
 CTES["centres"] = """SELECT poi, 41875000 + (poi_id % 4) * 12000 AS lat_u, 12450000 + ((poi_id - poi_id % 4) / 4) * 22000 AS lon_u
 FROM poi_names"""
 CTES["regions"] = """SELECT poi, CAST(lon_u - 1000 AS DOUBLE) / 1000000.0e0 AS x0, CAST(lat_u - 800 AS DOUBLE) / 1000000.0e0 AS y0,
@@ -250,10 +261,8 @@ WHERE s.freq / CAST(a.freq AS DOUBLE) >= 0.01e0"""
 
 CTES["hull_edges"] = "SELECT * FROM roi_hull_longest WHERE out_rk = 1 AND in_rk = 1"
 CTES["hull_boxes"] = """SELECT term, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM hull_edges GROUP BY term"""
-CTES["capped_points"] = """SELECT term, post_id, pos, lon, lat FROM (SELECT tag AS term, post_id, pos, longitude AS lon, latitude AS lat,
-  count(*) OVER (PARTITION BY tag) AS n, row_number() OVER (PARTITION BY tag
-  ORDER BY ((post_id % 2147483648) * 1103515245 + 12345) % 2147483648, post_id, pos) AS rk FROM tags
-  WHERE tag IN (SELECT term FROM kept_scores)) WHERE n > 50 AND rk <= 5000"""
+CTES["keyword_places"] = """SELECT term, post_id, pos, lon, lat FROM (SELECT tag AS term, post_id, pos, longitude AS lon, latitude AS lat,
+  count(*) OVER (PARTITION BY tag) AS n FROM tags WHERE tag IN (SELECT term FROM kept_scores)) WHERE n > 50"""
 CTES["hull_hits"] = """SELECT p.post_id, p.username, p.posted_ts, e.term AS poi FROM posts p
 JOIN hull_boxes b ON p.longitude BETWEEN b.x0 AND b.x1 AND p.latitude BETWEEN b.y0 AND b.y1
 JOIN hull_edges e ON e.term = b.term GROUP BY p.post_id, p.username, p.posted_ts, e.term
@@ -275,7 +284,7 @@ REGION_CHAIN = (
     "roi_hull_longest hull_edges hull_boxes hull_hits"
 ).split()
 RULE_CHAIN = "visit_rows day_places n_days subsets itemsets split_sets set_rules".split()
-_copy("w_", REGION_CHAIN, {"points": "capped_points"})
+_copy("w_", REGION_CHAIN, {"points": "keyword_places"})
 _copy("w_", RULE_CHAIN, {"hits": "w_hull_hits"})
 
 # Overlap of a hull and a rectangle: its height is linear between the longitudes
@@ -408,6 +417,8 @@ WHERE i = least(CAST(floor(total * 0.3e0) AS BIGINT), total - 1)""",
     "dbscan": "SELECT term, lon, lat, core, label_lat, label_lon FROM clusters",
     "largest_cluster": "SELECT term, label_lat, label_lon, places FROM largest",
     "convex_hull": "SELECT term, micro_square_degrees FROM all_hull_area",
+    "convex_hull_vertices": "SELECT term, round(lon, 9) AS lon, round(lat, 9) AS lat FROM all_hull_longest WHERE out_rk = 1 AND in_rk = 1",
+    "extract_rois_vertices": "SELECT term AS poi, round(lon, 9) AS lon, round(lat, 9) AS lat FROM hull_edges",
     "hull_close_ring": RING_ROWS,
     "extract_rois": ROI_AREAS,
     "extract_rois_uncapped": ROI_AREAS,
@@ -415,6 +426,11 @@ WHERE i = least(CAST(floor(total * 0.3e0) AS BIGINT), total - 1)""",
     "roi_within_roi": """SELECT f.poi AS inner_poi, b.poi FROM foto_boxes f JOIN boxes b
 ON f.lon_lo >= b.lon_lo AND f.lon_hi <= b.lon_hi AND f.lat_lo >= b.lat_lo AND f.lat_hi <= b.lat_hi""",
     "roi_overlap": "SELECT poi, other_poi, round(area * 1000000.0e0, 6) AS micro_square_degrees FROM box_pairs WHERE area > 0",
+    "roi_within_concave": """SELECT f.poi AS inner_poi, b.poi FROM foto_boxes f JOIN boxes b
+ON f.lon_lo >= b.lon_lo AND f.lon_hi <= b.lon_hi AND f.lat_lo >= b.lat_lo AND f.lat_hi <= b.lat_hi
+AND (f.lon_hi <= (b.lon_lo + b.lon_hi) / 2 OR f.lat_hi <= (b.lat_lo + b.lat_hi) / 2)""",
+    "roi_overlap_concave": "SELECT poi, other_poi, round(area * 1000000.0e0, 6) AS micro_square_degrees FROM ell_pairs WHERE round(area * 1000000.0e0, 6) > 0",
+    "roi_quality_concave": QUALITY + "ell_quality",
     "within_radius": "SELECT post_id, name, round(d, 3) AS dist FROM (SELECT *, {} AS d FROM (SELECT p.post_id, p.latitude AS a_lat, p.longitude AS a_lon, r.poi AS name, r.x0 AS b_lon, r.y0 AS b_lat FROM posts p CROSS JOIN regions r)) WHERE d <= 150".format(
         _distance("a_", "b_")
     ),

@@ -2,7 +2,7 @@
 
 Test data has no coordinates, so posts are computed from event ids by integer
 arithmetic. The derivation is narrow: one scan of three event columns and a
-lookup of at most 200 part names.
+lookup of the part names, which takes them all in turn.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.geo import rectangle
+from footfall.operators.joins import lookup_join
 from footfall.sources.posts import DATE_PATTERN, valid_posts
 
 # Fixed values of the test data: place names by id, and its one stop word.
@@ -19,7 +20,6 @@ PLACES = (
     "esquilino quirinale"
 ).split()
 STOP_WORDS = ["foto"]
-PART_NAMES = 200
 
 
 def _spread(table: DataFrame) -> DataFrame:
@@ -31,13 +31,8 @@ def _spread(table: DataFrame) -> DataFrame:
 def derive_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All derived posts, the invalid ones included, plus ``posted_ts``."""
     events = _spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts"))
-    # The lookup key is event_id % 200 of a non-negative id, so the range says
-    # nothing new; it bounds the broadcast side to 200 rows of the unique key.
-    names = (
-        spark.read.parquet(f"{sf_dir}/part.parquet")
-        .select("p_partkey", "p_name")
-        .filter(F.col("p_partkey").between(0, PART_NAMES - 1))
-    )
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    n_names = names.count()
     mixed = events.selectExpr(
         "event_id",
         "user_id",
@@ -59,7 +54,8 @@ def derive_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN is_noise THEN 12440000 + (b * 5 + a) % 70000"
         " ELSE 12450000 + (poi_id div 4) * 22000 + jx * 60 END AS lon_u",
     ).withColumn("poi", F.element_at(F.array(*[F.lit(p) for p in PLACES]), (F.col("poi_id") + 1).cast("int")))
-    named = located.join(F.broadcast(names), F.col("event_id") % PART_NAMES == F.col("p_partkey"))
+    keyed = located.withColumn("p_partkey", F.col("event_id") % F.lit(n_names))
+    named = lookup_join(keyed, names, ["p_partkey"], ["event_id"], small_rows=n_names)
     tag_text = """CASE WHEN event_id % 97 = 13 THEN '' ELSE concat_ws(' ',
         'rome', p_name,
         CASE WHEN NOT is_noise THEN poi END,

@@ -19,14 +19,15 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     """Every polygon Placemark, in or outside a Folder: ``poi, ring, position``.
 
     Names are lower-cased and trimmed. The ring is the outer boundary, closed.
-    ``position`` grows along each file.
+    ``file`` and ``position`` give their order: by file name, then along the file.
     """
     # Cutting the text at the closing tag keeps large files splittable, and allows
     # files with one document per line, which are no single XML document.
     pieces = spark.read.text(path, lineSep="</Placemark>")
     element = F.regexp_extract("value", r"(?s)(<Placemark[\s>].*)$", 1)
-    marks = pieces.select(element.alias("xml")).filter(F.col("xml") != "")
-    marks = marks.select(F.from_xml(F.concat("xml", F.lit("</Placemark>")), PLACEMARK).alias("mark")).select("mark.*")
+    marks = pieces.select(element.alias("xml"), F.col("_metadata.file_path").alias("file")).filter(F.col("xml") != "")
+    mark = F.from_xml(F.concat("xml", F.lit("</Placemark>")), PLACEMARK).alias("mark")
+    marks = marks.select(mark, "file").select("mark.*", "file")
     text = F.col("Polygon.outerBoundaryIs.LinearRing.coordinates")
     triples = F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
     ring = F.transform(
@@ -39,6 +40,7 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     named = marks.filter(text.isNotNull()).select(
         F.lower(F.trim(F.regexp_replace("name", r"^\s+|\s+$", ""))).alias("poi"),
         ring.alias("ring"),
+        "file",
         F.monotonically_increasing_id().alias("position"),
     )
     return named.filter(F.size("ring") > 0).withColumn("ring", closed(F.col("ring")))
@@ -47,7 +49,7 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
 def read_roi_kml(spark: SparkSession, path: str) -> DataFrame:
     """Regions by name, ``poi, ring``; of several with one name the last is kept."""
     marks = read_placemarks(spark, path)
-    return marks.groupBy("poi").agg(F.max_by("ring", "position").alias("ring"))
+    return marks.groupBy("poi").agg(F.max_by("ring", F.struct("file", "position")).alias("ring"))
 
 
 def _escaped(text: Column) -> Column:

@@ -63,8 +63,8 @@ def normalise_posts(raw: DataFrame) -> DataFrame:
 def valid_posts(posts: DataFrame, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Keep located posts with tags.
 
-    The default keeps the north-eastern quarter of the globe (latitude and
-    longitude above zero); ``bounds = (lat_lo, lon_lo, lat_hi, lon_hi)`` keeps a
+    Coordinates must be numbers on the globe. The default keeps its north-eastern
+    quarter (latitude and longitude above zero); ``bounds = (lat_lo, lon_lo, lat_hi, lon_hi)`` keeps a
     chosen box instead, borders included.
     """
     if bounds is None:
@@ -72,7 +72,9 @@ def valid_posts(posts: DataFrame, bounds: tuple[float, float, float, float] | No
     else:
         lat_lo, lon_lo, lat_hi, lon_hi = bounds
         located = F.col("latitude").between(lat_lo, lat_hi) & F.col("longitude").between(lon_lo, lon_hi)
-    return posts.filter(located & (F.size("tags") > 0))
+    # NaN compares as larger than any number, so the upper bounds drop it too.
+    real = F.col("latitude").between(-90.0, 90.0) & F.col("longitude").between(-180.0, 180.0)
+    return posts.filter(real & located & (F.size("tags") > 0))
 
 
 def read_posts_json(spark: SparkSession, path: str, bounds=None) -> DataFrame:

@@ -20,5 +20,5 @@ def test_mobility_job_on_files(spark, tables, tmp_path):
     assert rule_rows(found) == rule_rows(jobs.pipeline(frame, rois=found["rois"]))
     kml.write_roi_kml(derived.place_regions(spark), regions)
     given = jobs.mobility_job(spark, data, rois_path=regions)
-    assert set(given) == {"rois", "itemsets", "rules"}
+    assert set(given) == {"rois", "itemsets", "rules", "rejected"}
     assert rule_rows(given) == rule_rows(jobs.trajectory_rules(frame, derived.place_regions(spark)))

@@ -129,3 +129,33 @@ def test_box_bounds_enclose_distances(spark):
     lower, upper = geo.box_distance_bounds(box("a"), box("b"))
     d = geo.distance_m(F.col("pa"), F.col("oa"), F.col("pb"), F.col("ob"))
     assert frame.filter((d < lower) | (d > upper)).isEmpty()
+
+
+def test_region_in_the_notch_is_not_within(spark):
+    notched = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 2.0), (0.0, 4.0), (0.0, 0.0)]
+    wedge = [(0.0, 4.0), (2.0, 2.0), (4.0, 4.0), (0.0, 4.0)]
+    low = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 2.0), (0.0, 0.0)]
+    across = [(0.5, 3.0), (3.5, 3.0), (3.5, 0.5), (0.5, 0.5), (0.5, 3.0)]
+    rings = regions(spark, wedge=wedge, low=low, across=across, itself=notched)
+    found = {r.inner_poi for r in spatial.roi_within_roi(rings, regions(spark, notched=notched)).collect()}
+    assert found == {"low", "itself"}
+
+
+def test_concave_on_both_sides(spark):
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    turned = [(2.0 - x, 2.0 - y) for x, y in ELL]
+    shared = spatial.roi_overlap(regions(spark, a=square, b=ELL), regions(spark, ell=ELL, turned=turned, back=ELL[::-1]))
+    got = {(r.poi, r.other_poi): round(r.area, 12) for r in shared.collect()}
+    assert got == {("a", "ell"): 3.0, ("a", "turned"): 3.0, ("a", "back"): 3.0, ("b", "ell"): 3.0, ("b", "turned"): 2.0, ("b", "back"): 3.0}
+    row = spatial.roi_quality(regions(spark, a=square), regions(spark, a=ELL)).first()
+    assert (round(row.precision, 12), round(row.recall, 12), round(row.f1, 12)) == (1.0, 0.75, round(6 / 7, 12))
+
+
+def test_overlap_candidates_stay_few(spark):
+    """One large region beside many small ones does not make the small ones meet."""
+    box = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    small = {f"s{i}": box(0.1 * (i % 40), 0.1 * (i // 40), 0.001) for i in range(1000)}
+    found = spatial.overlap_candidates(regions(spark, big=box(0.0, 0.0, 4.0), **small), regions(spark, **small))
+    assert found.count() == 2000
+    met = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in met and found.filter("poi <> 'big' AND poi <> other_poi").count() == 0
