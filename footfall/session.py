@@ -48,8 +48,12 @@ def stage_root(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for one intermediate table."""
-    return f"{stage_root(spark)}/footfall/{label}-{uuid.uuid4().hex}"
+    """A fresh path for one intermediate table, in the folder of this application."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{stage_root(spark)}/footfall/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -69,7 +73,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def clear_stages(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this and earlier runs left in the shared folder."""
+    """Delete the intermediate tables of this application; those of others stay."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{stage_root(spark)}/footfall")
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
