@@ -68,10 +68,12 @@ def lookup_join(
 ) -> DataFrame:
     """Inner join with a side that is usually small.
 
-    ``small`` is counted: below the limit it is broadcast, so ``big`` is not
-    shuffled; beyond it the join is salted by the hot keys of ``big``.
+    ``small`` is written once and counted: below the limit it is broadcast, so ``big``
+    is not shuffled; beyond it the join is salted by the hot keys of ``big``.
     """
-    small_rows = small.count() if small_rows is None else small_rows
+    if small_rows is None:
+        small = stage(small, "small")
+        small_rows = small.count()
     if small_rows <= broadcast_rows:
         return big.join(F.broadcast(small), keys)
     return salted_join(big, small, keys, salt_by, hot_rows=hot_rows)
