@@ -148,11 +148,10 @@ def _sized(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), *keep)
 
 
-def _placed_and_slots(sized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    placed = stage(pack(sized), "packed")
-    sources = placed.groupBy("source").agg(F.first("source_size").alias("source_size"))
+def _targets_and_slots(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stage(source_targets(sources), "targets")
-    return placed, targets, plan_slots(targets)
+    return targets, plan_slots(targets)
 
 
 def _spans(placed: DataFrame, *keep: str) -> DataFrame:
@@ -167,7 +166,9 @@ def _spans(placed: DataFrame, *keep: str) -> DataFrame:
 
 def usage(docs: DataFrame) -> DataFrame:
     """How much of each document the mix takes: ``doc_id, size, source_size, target, taken``."""
-    placed, targets, slots = _placed_and_slots(_sized(docs))
+    sized = stage(_sized(docs), "sizes")
+    placed = stage(pack(sized), "packed")
+    targets, slots = _targets_and_slots(sized)
     times = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     times = times.select(F.xxhash64("source", F.col("source").isNull()).alias("__s"), F.col("source").alias("__source"), F.col("block").alias("__block"), "times")
     spans = _spans(placed)
@@ -185,11 +186,13 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixed data: ``shard, slot, source, block, epoch, doc_id, from, words, text``.
 
     One row per slot and document in its block; ``text`` is that part of the document,
-    its words separated by single spaces.
+    its words separated by single spaces. Texts are shuffled twice, to their run and to
+    their block, and never written in between.
     """
-    words = split_words(F.col("text"))
-    placed, _, slots = _placed_and_slots(_sized(docs, "text"))
-    spans = _spans(placed.withColumn("__words", words), "__words")
+    sized = stage(_sized(docs), "sizes")
+    _, slots = _targets_and_slots(sized)
+    placed = pack(_sized(docs, "text")).withColumn("__words", split_words(F.col("text")))
+    spans = _spans(placed, "__words")
     part = F.array_join(F.slice("__words", (F.col("from") + 1).cast("int"), F.col("words").cast("int")), " ")
     parts = spans.select("doc_id", F.col("source").alias("__source"), F.col("block").alias("__block"), "from", "words", part.alias("text"))
     same = slots["source"].eqNullSafe(F.col("__source")) & (slots["block"] == F.col("__block"))
