@@ -18,6 +18,8 @@ from footfall.operators.joins import HOT_ROWS, counted, lookup_join
 from footfall.session import stage
 
 THRESHOLD = 0.27
+# Buckets that the positions of a curve are cut into for sampling.
+POSITION_BUCKETS = 4096
 COARSE_STEPS = 100
 
 
@@ -192,8 +194,15 @@ def eps_bootstrap(curve: DataFrame, repetitions: int, samples: int, seed: int =
     mixed = (F.pmod(number, F.lit(2**31)) * 1103515245 + 12345) % 2**31
     drawn = F.floor(mixed / F.lit(2.0**31) * F.col("total"))
     draws = draws.select("term", "rep", drawn.alias("i")).groupBy("term", "rep", "i").agg(F.count(F.lit(1)).alias("times"))
-    expanded = points.select("term", "dist", F.explode(F.expr("sequence(start, start + n - 1)")).alias("i"))
-    sampled = stage(lookup_join(expanded, stage(draws, "draws"), ["term", "i"], ["i"]), "sampled")
+    # Runs of equal values and draws meet in buckets of positions: a run takes one row
+    # for each bucket that it reaches into, however many positions it holds.
+    bucket = lambda i: F.floor(i / F.col("total") * POSITION_BUCKETS)
+    first, last = bucket(F.col("start")), bucket(F.col("start") + F.col("n") - 1)
+    runs = points.select("term", "dist", "start", "n", F.explode(F.sequence(first, last)).alias("bucket"))
+    draws = draws.join(sizes, "term").withColumn("bucket", bucket(F.col("i"))).drop("total")
+    met = lookup_join(runs, stage(draws, "draws"), ["term", "bucket"], ["start"])
+    inside = (F.col("start") <= F.col("i")) & (F.col("i") < F.col("start") + F.col("n"))
+    sampled = stage(met.filter(inside).select("term", "rep", "dist", "times"), "sampled")
     keys = ["term", "rep"]
     knees = elbow(histogram(sampled, keys, "dist", F.col("times")), keys, "dist", short="error", rows=sampled.count())
     return knees.groupBy("term").agg(F.median("y").alias("eps"))

@@ -155,6 +155,14 @@ def write_roi_kml(spark, sf_dir):
     return spark.read.text(path).withColumnRenamed("value", "kml")
 
 
+@query
+def write_points_kml(spark, sf_dir):
+    path, corner = stage_path(spark, "kml"), F.col("ring")[0]
+    corners = _place_boxes(spark, sf_dir).select("poi", corner["lon"].alias("lon"), corner["lat"].alias("lat"))
+    kml.write_points_kml(corners, path)
+    return spark.read.text(path).withColumnRenamed("value", "kml")
+
+
 @query
 def write_results(spark, sf_dir):
     path = stage_path(spark, "results")

@@ -356,11 +356,12 @@ SELECTS: dict[str, str] = {
     "json_to_parquet": POST_ROWS + "posts",
     "read_terms": "SELECT DISTINCT tag AS term FROM tags",
     "read_roi_kml": RING_ROWS,
-    "write_roi_kml": f"""SELECT '<Placemark><name>' || poi || '</name><styleUrl>#poly-ff0000ff</styleUrl><Polygon><outerBoundaryIs>'
+    "write_roi_kml": f"""SELECT '<Placemark><name>' || poi || '</name><Style><LineStyle><color>ff0000ff</color></LineStyle>'
+  || '<PolyStyle><color>ff0000ff</color></PolyStyle></Style><Polygon><outerBoundaryIs>'
   || '<LinearRing><tessellate>0</tessellate><coordinates>' || {TRIPLES}
-  || '</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark><Style id="poly-ff0000ff"><LineStyle><color>ff0000ff'
-  || '</color><width>2</width></LineStyle><PolyStyle><color>ff0000ff</color><fill>1</fill><outline>1</outline></PolyStyle></Style>'
-  AS kml FROM boxes""",
+  || '</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>' AS kml FROM boxes""",
+    "write_points_kml": f"""SELECT '<Placemark><name>' || poi || '</name><Point><coordinates>'
+  || CAST(lon_lo AS VARCHAR) || ',' || CAST(lat_lo AS VARCHAR) || '</coordinates></Point></Placemark>' AS kml FROM boxes""",
     "write_results": KEYWORDS,
     "normalise_posts": POST_ROWS + "raw_posts",
     "valid_posts": "SELECT post_id, latitude, longitude, username FROM posts",

@@ -13,6 +13,8 @@ PLACEMARK = (
 # The KML document wrapper.
 HEADER = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'
 FOOTER = "</Document></kml>"
+# Text elements of a Placemark, in the order of the format's schema.
+PLAIN = ("name", "description", "styleUrl")
 
 
 def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
@@ -59,31 +61,26 @@ def _escaped(text: Column) -> Column:
     return text
 
 
+def _element(name: str, *content: Column) -> Column:
+    """An element, or null if one part of its content is."""
+    return F.concat(F.lit(f"<{name}>"), *content, F.lit(f"</{name.split(' ')[0]}>"))
+
+
 def placemark(geometry: Column, attributes: dict[str, Column], document: bool = False) -> Column:
     """KML text of one Placemark around a geometry text.
 
-    ``name``, ``styleUrl``, ``description`` and ``color`` have their own elements;
-    other attributes become extended data. Null attributes are left out.
+    Attributes named like a text element of a Placemark (``PLAIN``) become that element,
+    in the order that the format asks for. ``color`` fills and outlines the geometry by
+    a style of the Placemark's own. The rest is extended data. Nulls are left out.
     """
-    head, data, style = [], [], F.lit("")
-    for key, value in attributes.items():
-        text = _escaped(F.trim(value.cast("string")))
-        if key in ("styleUrl", "description", "name"):
-            head.append(F.concat(F.lit(f"<{key}>"), text, F.lit(f"</{key}>")))
-        elif key == "color":
-            head.append(F.concat(F.lit("<styleUrl>#poly-"), text, F.lit("</styleUrl>")))
-            style = F.concat(
-                F.lit('<Style id="poly-'), text, F.lit('"><LineStyle><color>'), text,
-                F.lit("</color><width>2</width></LineStyle><PolyStyle><color>"), text,
-                F.lit("</color><fill>1</fill><outline>1</outline></PolyStyle></Style>"),
-            )
-        else:
-            data.append(F.concat(F.lit(f'<Data name="{key}"><value>'), text, F.lit("</value></Data>")))
-    extended = [F.lit("<ExtendedData>"), *data, F.lit("</ExtendedData>")] if data else []
-    parts = [F.lit("<Placemark>"), *head, *extended, geometry, F.lit("</Placemark>"), style]
-    if document:
-        parts = [F.lit(HEADER), *parts, F.lit(FOOTER)]
-    return F.concat_ws("", *parts)
+    texts = {key: _escaped(F.trim(value.cast("string"))) for key, value in attributes.items()}
+    plain = [_element(key, texts[key]) for key in PLAIN if key in texts]
+    paint = [_element(kind, _element("color", texts["color"])) for kind in ("LineStyle", "PolyStyle") if "color" in texts]
+    style = [_element("Style", *paint)] if paint else []
+    others = [_element(f'Data name="{key}"', _element("value", text)) for key, text in texts.items() if key not in (*PLAIN, "color")]
+    extended = [_element("ExtendedData", F.concat_ws("", *others))] if others else []
+    mark = _element("Placemark", F.concat_ws("", *plain, *style, *extended, geometry))
+    return F.concat(F.lit(HEADER), mark, F.lit(FOOTER)) if document else mark
 
 
 def polygon_text(ring: Column) -> Column:
@@ -111,6 +108,15 @@ def roi_kml(rois: DataFrame, attributes: list[str] = (), document: bool = False)
     return rois.select("poi", placemark(polygon_text(F.col("ring")), fields, document).alias("kml"))
 
 
+def write_points_kml(
+    points: DataFrame, path: str, attributes: list[str] = (), document: bool = False, mode: str = "errorifexists"
+) -> None:
+    """Write points ``poi, lon, lat`` like regions, one Placemark or document per line."""
+    fields = {"name": F.col("poi"), **{c: F.col(c) for c in attributes}}
+    text = placemark(point_text(F.col("lon"), F.col("lat")), fields, document)
+    points.select(text.alias("value")).write.mode(mode).text(path)
+
+
 def write_roi_kml(
     rois: DataFrame, path: str, attributes: list[str] = (), document: bool = False, mode: str = "errorifexists"
 ) -> None:

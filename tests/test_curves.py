@@ -69,3 +69,13 @@ def test_ranks_do_not_depend_on_blocks(spark):
     plain = keywords.ranked_keywords(scores).select("cell_x", "term", "rank").collect()
     blocks = keywords.ranked_keywords(scores, hot_rows=5).select("cell_x", "term", "rank").collect()
     assert sorted(plain) == sorted(blocks)
+
+
+def test_bootstrap_of_heavy_places(spark):
+    """Places of very many points are sampled without writing out their positions."""
+    from footfall.operators import radius
+
+    rows = [("t", 9.0, 10**8), ("t", 5.0, 7), ("t", 2.0, 3), ("t", 1.0, 10**8)]
+    curve = spark.createDataFrame(rows, "term string, dist double, n long")
+    eps = radius.eps_bootstrap(curve, repetitions=5, samples=200).first().eps
+    assert eps in {r[1] for r in rows}
