@@ -15,8 +15,9 @@ from footfall.operators.points import PLACE
 from footfall.session import stage
 
 NEIGHBOURS = 4
-FIRST_SIDE_M = 4.0
-LEVELS = 8
+# From about the step of seven-decimal coordinates to 65 km.
+FIRST_SIDE_M = 4.0 / 4**4
+LEVELS = 12
 CROWDED = 12
 # Small tables may start with fuller cells, as long as the first round makes no more pairs than this.
 FIRST_PAIRS = 2_000_000

@@ -217,3 +217,17 @@ def test_min_points_is_strict(spark):
     frame = spark.createDataFrame(rows, "term string, post_id long, pos int")
     assert {r.term for r in points.min_points(frame).collect()} == {"more"}
     assert points.term_sizes(frame).agg(F.sum("n")).first()[0] == 51
+
+
+def test_crowded_cells_start_small(spark):
+    """Thousands of places within four metres: the first cells hold a few of them each."""
+    rng = np.random.default_rng(9)
+    rows = [("t", 12.5 + float(x), 41.9 + float(y), 1) for x, y in rng.uniform(0, 3.5e-5, (3000, 2))]
+    crowd = stage(spark.createDataFrame(rows, "term string, lon double, lat double, w long"), "crowd")
+    side = knn._first_sides(crowd, 10**9).first().side
+    assert side < 0.5
+    got = {(r.lon, r.lat): r.dist for r in knn.knn_distance(crowd, 4).collect()}
+    lat, lon = (np.array([r[i] for r in rows]) for i in (2, 1))
+    for i in range(0, 3000, 500):
+        apart = np.sort(np.hypot((lat - lat[i]) * 111194.93, (lon - lon[i]) * 111194.93 * np.cos(np.radians(41.9))))
+        assert abs(got[lon[i], lat[i]] - apart[4]) < 0.01

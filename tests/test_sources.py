@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 
 from footfall.operators import trajectories
 from footfall.plans import jobs
-from footfall.sources import kml, posts
+from footfall.sources import derived, kml, posts
 
 PLAIN = {
     "geoData": {"latitude": 41.9, "longitude": 12.5, "accuracy": 16},
@@ -121,3 +121,18 @@ def test_unparsable_dates_are_counted_not_used(spark):
 def test_pipeline_needs_stop_words_or_keywords(spark):
     with pytest.raises(ValueError, match="stop words"):
         jobs.pipeline(spark.range(1))
+
+
+def test_box_reaches_the_scan_of_stored_posts(spark, tables, tmp_path):
+    from footfall.operators import spatial
+
+    path = str(tmp_path / "stored.parquet")
+    posts.write_posts_parquet(derived.posts(spark, tables), path)
+    inside = spatial.bbox_filter(posts.read_posts_parquet(spark, path), 41.88, 12.46, 41.9, 12.48)
+    plan = inside.select("username")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert "GreaterThanOrEqual(latitude,41.88)" in pushed and "LessThanOrEqual(longitude,12.48)" in pushed
+    assert "accuracy" not in plan[plan.index("ReadSchema") :]
+    assert inside.count() == spatial.bbox_filter(derived.posts(spark, tables), 41.88, 12.46, 41.9, 12.48).count()
+    nan = posts.valid_posts(spark.createDataFrame([(float("nan"), 5.0, ["a"]), (91.0, 5.0, ["a"]), (5.0, 5.0, ["a"])], "latitude double, longitude double, tags array<string>"))
+    assert nan.count() == 1
