@@ -129,6 +129,7 @@ def test_box_reaches_the_scan_of_stored_posts(spark, tables, tmp_path):
     path = str(tmp_path / "stored.parquet")
     posts.write_posts_parquet(derived.posts(spark, tables), path)
     inside = spatial.bbox_filter(posts.read_posts_parquet(spark, path), 41.88, 12.46, 41.9, 12.48)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = inside.select("username")._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
     assert "GreaterThanOrEqual(latitude,41.88)" in pushed and "LessThanOrEqual(longitude,12.48)" in pushed
