@@ -3,7 +3,9 @@
 Every token falls into one of ``BUCKETS`` hashed words, and each bucket has a sparse
 random index vector of ``+1`` and ``-1``. A word vector is the sum of the index vectors
 of the words next to it, over all documents. A document is the mean of its words' unit
-vectors, common words weighted down. A two-layer numpy network is fitted on at most
+vectors, common words weighted down, with three more measures of the pool: the share of
+neighbours with the same index vector, the share of distinct ones, and the logarithm of
+the number of words. A two-layer numpy network is fitted on at most
 about ``FIT_ROWS`` labelled rows, and a temperature is fitted on a part held back.
 
 Word vectors have a fixed size, whatever the corpus: each task adds up its documents in
@@ -33,6 +35,7 @@ from footfall.session import stage
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 16_384
 DIM = 64
+FEATURES = DIM + 3
 NEAR = 2
 NONZERO = 2
 # Rows of the matrix that travel together, and parts in the first step of the sum.
@@ -127,19 +130,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """``doc_id, vector``: the mean of the words' vectors of each whole text."""
+    """``doc_id, vector``: the mean of the words' vectors of each whole text, and three measures of it."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors.astype(np.float32))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, vectors = _Buckets(), shared.value
         for batch in batches:
-            out = np.zeros((batch.num_rows, DIM), np.float32)
+            out = np.zeros((batch.num_rows, FEATURES), np.float32)
             for k, text in enumerate(batch.column(1)):
                 ids = _token_buckets(text.as_py(), buckets)
                 if len(ids):
                     used, times = np.unique(ids, return_counts=True)
-                    out[k] = times @ vectors[used] / len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(out.ravel(), DIM).cast(pa.list_(pa.float32()))], ["doc_id", "vector"])
+                    out[k, :DIM] = times @ vectors[used] / len(ids)
+                    out[k, DIM:] = np.mean(ids[1:] == ids[:-1]) if len(ids) > 1 else 0, len(used) / len(ids), np.log1p(len(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(out.ravel(), FEATURES).cast(pa.list_(pa.float32()))], ["doc_id", "vector"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(pool, "doc_id bigint, vector array<float>")
 
@@ -176,7 +180,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
     order = dice.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
     spread = x[used].std(axis=0)
-    weights = [dice.normal(0, (2 / DIM) ** 0.5, (DIM, HIDDEN)), np.zeros(HIDDEN), dice.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(())]
+    weights = [dice.normal(0, (2 / FEATURES) ** 0.5, (FEATURES, HIDDEN)), np.zeros(HIDDEN), dice.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(())]
     net = Network(x[used].mean(axis=0), np.where(spread > 0, spread, 1), weights)
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for _ in range(EPOCHS):
@@ -217,7 +221,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM).astype(np.float64)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES).astype(np.float64)
             found = net.score(x) if isinstance(net, Network) else np.full(len(x), net)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 

@@ -86,9 +86,9 @@ def test_word_vectors_count_neighbours(spark):
 
 def test_gradient():
     dice = np.random.default_rng(3)
-    x, y = dice.normal(size=(20, quality_model.DIM)), dice.integers(0, 2, 20).astype(float)
-    shapes = [(quality_model.DIM, 4), (4,), (4,), ()]
-    net = quality_model.Network(np.zeros(quality_model.DIM), np.ones(quality_model.DIM), [np.asarray(dice.normal(size=s)) for s in shapes])
+    x, y = dice.normal(size=(20, quality_model.FEATURES)), dice.integers(0, 2, 20).astype(float)
+    shapes = [(quality_model.FEATURES, 4), (4,), (4,), ()]
+    net = quality_model.Network(np.zeros(quality_model.FEATURES), np.ones(quality_model.FEATURES), [np.asarray(dice.normal(size=s)) for s in shapes])
 
     def loss():
         z = net.logits(x)
@@ -114,7 +114,7 @@ def test_quality_held_out(spark):
     held = [(rows[r["doc_id"]].score, r["quality"]) for r in labels if r["doc_id"] in rows and rows[r["doc_id"]].held_out]
     ones, zeros = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros])
-    assert len(zeros) > 50 and auc > 0.95
+    assert len(zeros) > 50 and auc > 0.97
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows.values())
 
 
