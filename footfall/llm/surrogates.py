@@ -50,6 +50,8 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 ANY = "|".join(PATTERNS.values())
+# A text with no digit, no @ and no given name in front of a capital holds no mention.
+NAMED = f"(?=[A-Z\\u0410-\\u042F])(?<!\\p{{L}})(?:{'|'.join(_NAMES.values())})\\x20+\\p{{Lu}}"
 # Letters that stand in for letters, by script and case.
 ALPHABETS = {
     "[0-9]": "0123456789",
@@ -63,8 +65,10 @@ ALPHABETS = {
 
 
 def mentions(text: Column) -> Column:
-    """Detected mentions in order, as they stand in the text."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    """Detected mentions in order, as they stand in the text; cheap for texts that cannot hold any."""
+    possible = text.contains("@") | text.rlike("[0-9]") | text.rlike(NAMED)
+    none = F.array().cast("array<string>")
+    return F.when(possible, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
 
 
 def kind_of(value: Column) -> Column:
@@ -221,7 +225,7 @@ def replace(docs: DataFrame, key: str = KEY, broadcast_rows: int = BROADCAST_ROW
     text, found = F.col("text"), stage(entities(docs), "entities")
     again = stage(settle_collisions(found, key), "attempts")
     n_again = again.count()
-    values = F.when(text.rlike(ANY), F.transform(mentions(text), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind"))))
+    values = F.transform(mentions(text), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     values = F.transform(values, lambda v: F.struct(v["value"].alias("value"), v["kind"].alias("kind"), canonical(v["kind"], v["value"]).alias("form")))
     df = docs.withColumn("__found", values)
     attempt = lambda v: F.lit(0)
@@ -236,8 +240,12 @@ def replace(docs: DataFrame, key: str = KEY, broadcast_rows: int = BROADCAST_ROW
         side = F.broadcast(per_doc) if met.count() <= broadcast_rows else per_doc
         df = df.join(side, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
         attempt = lambda v: F.coalesce(F.element_at("__tries", F.concat_ws("|", v["kind"], v["form"])), F.lit(0))
-    fresh = F.transform("__found", lambda v: dress(v["kind"], v["value"], surrogate(v["kind"], v["form"], attempt(v), key)))
-    df = df.withColumn("__fresh", fresh)
+    plain = F.transform(
+        "__found",
+        lambda v: F.struct(v["value"].alias("value"), v["kind"].alias("kind"), surrogate(v["kind"], v["form"], attempt(v), key).alias("plain")),
+    )
+    df = df.withColumn("__plain", plain)
+    df = df.withColumn("__fresh", F.transform("__plain", lambda v: dress(v["kind"], v["value"], v["plain"])))
     gaps = F.split(text, ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.col("__fresh"), lambda g, f: F.array(g, F.coalesce(f, F.lit(""))))), "")
     out = df.withColumn("text", F.when(F.size("__found") > 0, joined).otherwise(text))
