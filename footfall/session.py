@@ -72,8 +72,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return written
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete a table that :func:`stage` wrote, once its last reader is done."""
+    _delete(df.sparkSession, vars(df)["_footfall_stage"])
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; those of others stay."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    _delete(spark, _own_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
