@@ -41,6 +41,21 @@ def test_chains_crowds_and_copies(spark):
     assert got == brute.near_groups(docs)
 
 
+def test_close_pairs_in_a_crowd(spark, monkeypatch):
+    """Few close pairs among many documents of one template that are all too different, whatever the hubs."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 8)
+    dice = random.Random(5)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(7))
+    template, rows = [word() for _ in range(96)], []
+    for _ in range(700):
+        rows.append(template + [word() for _ in range(32)])
+    for k in range(8):
+        rows.append(rows[200 + 50 * k][:-13] + [word() for _ in range(13)])
+    docs = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: 200 + 50 * (i - 700) if i >= 700 else i for i in range(708)}
+
+
 def test_odd_rows(spark, odd, odd_rows, none):
     clashing = odd.withColumns({c: F.lit(1) for c in ("digest", "hashes", "id", "key", "n", "root", "hub")})
     got = near_dedup.near_groups(clashing).collect()
