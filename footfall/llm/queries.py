@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import (
+    conversation_repair,
     decontaminate,
     language_id,
+    line_dedup,
     mixing,
     near_dedup,
     quality_model,
     quality_rules,
+    ranked_search,
     secret_scan,
     substring_dedup,
     surrogates,
@@ -107,3 +110,22 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_model.score(table(spark, sf_dir, "documents"), labels)
     held_out = F.coalesce(remainder(4) == 2, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(conversation_repair.damage(conversations), conversations)
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and what is left without those that many documents share."""
+    return line_dedup.digest(table(spark, sf_dir, "documents"))

@@ -116,3 +116,14 @@ def left_lookup(
     parts = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return parts.join(copies, [*keys, "__salt"], "left").drop("__salt")
+
+
+def fresh_names(df: DataFrame, names: list[str]) -> dict[str, str]:
+    """Working names that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        free = f"__{name}"
+        while free.lower() in taken:
+            free += "_"
+        out[name] = free
+    return out
