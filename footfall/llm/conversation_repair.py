@@ -161,8 +161,18 @@ def segments(rows: DataFrame) -> DataFrame:
     )
 
 
-_CELL = pa.struct([("from", pa.int32()), ("to", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())])
-_CELLS = "array<struct<from:int,to:int,cost:bigint,audit:string>>"
+@lru_cache(maxsize=50_000)
+def written(codes: str) -> str:
+    """The cells of a segment as text, which travels and is remembered better than nested rows."""
+    return " ".join(f"{p}{q}{cost},{audit}" for (p, q), (cost, audit) in parse(codes).items())
+
+
+@lru_cache(maxsize=50_000)
+def read(cells: str) -> Cells:
+    split = (cell.split(",") for cell in cells.split(" "))
+    return {(int(head[0]), int(head[1])): (int(head[2:]), audit) for head, audit in split}
+
+
 _COUNTS = ("blank", "duplicate", "truncated", "illegal")
 
 
@@ -173,11 +183,10 @@ def _illegal(initials: str) -> int:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = batch.column(2).to_pylist()
-        cells = [[{"from": p, "to": q, "cost": c, "audit": a} for (p, q), (c, a) in parse(x).items()] for x in codes]
         counts = [pa.array([x[1::2].count(f) for x in codes], pa.int64()) for f in "bdt"]
         counts.append(pa.array([_illegal(x[::2]) for x in codes], pa.int64()))
         ends = [pa.array([x[0] for x in codes]), pa.array([x[-2] for x in codes]), pa.array([len(x) // 2 for x in codes], pa.int32())]
-        arrays = [batch.column(0), batch.column(1), *ends, *counts, pa.array(cells, pa.list_(_CELL))]
+        arrays = [batch.column(0), batch.column(1), *ends, *counts, pa.array(map(written, codes), pa.string())]
         yield pa.RecordBatch.from_arrays(arrays, ["conv", "at", "first", "last", "n", *_COUNTS, "cells"])
 
 
@@ -194,35 +203,44 @@ def _pieces(audit: str, sizes: list[int]) -> Iterator[str]:
     yield audit[low:]
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per conversation the cheapest edits, as a first record with the sums and one record for each segment."""
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Per conversation the cheapest edits, one record for each segment, the first of them with the sums."""
     for batch in batches:
-        for conv, parts in zip(batch.column(0), batch.column(1)):
+        for conv, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
             parts = parts.as_py()
-            cost, audit = cheapest(join_all([{(c["from"], c["to"]): (c["cost"], c["audit"]) for c in p["cells"]} for p in parts]))
+            cost, audit = cheapest(join_all([read(p["cells"]) for p in parts]))
             sums = {name: sum(p[name] for p in parts) for name in _COUNTS}
             sums["illegal"] += sum(a["last"] + b["first"] not in LEGAL for a, b in pairwise(parts))
-            n = len(parts)
-            columns = {
-                "conv": pa.array([conv.as_py()] * n, pa.string()),
-                "at": pa.array([p["at"] for p in parts], pa.int64()),
-                "piece": pa.array(list(_pieces(audit, [p["n"] for p in parts])), pa.string()),
-                "audit": pa.array([audit] + [None] * (n - 1), pa.string()),
-                "cost": pa.array([cost] + [None] * (n - 1), pa.int64()),
-                **{name: pa.array([sums[name]] + [None] * (n - 1), pa.int64()) for name in _COUNTS},
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            head = {"audit": audit, "cost": cost, **sums}
+            for part, piece in zip(parts, _pieces(audit, [p["n"] for p in parts])):
+                yield {"conv": conv, "at": part["at"], "piece": piece, **head}
+                head = {}
+
+
+_EDIT = pa.schema([("conv", pa.string()), ("at", pa.int64()), ("piece", pa.string()), ("audit", pa.string())] + [(c, pa.int64()) for c in ("cost", *_COUNTS)])
 
 
-_EDITS = "conv string, at bigint, piece string, audit string, cost bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint"
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'bigint' if pa.types.is_int64(f.type) else 'string'}" for f in schema)
+
+
+def _batched(records: Iterator[dict], schema: pa.Schema, size: int = 1000) -> Iterator[pa.RecordBatch]:
+    held = []
+    for record in records:
+        held.append(record)
+        if len(held) == size:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
 
 
 def edits(rows: DataFrame) -> DataFrame:
     """Cheapest edits of the conversations of the ordered rows, one record for each segment."""
-    schema = f"conv string, at bigint, first string, last string, n int, {', '.join(f'{c} bigint' for c in _COUNTS)}, cells {_CELLS}"
+    schema = f"conv string, at bigint, first string, last string, n int, {', '.join(f'{c} bigint' for c in _COUNTS)}, cells string"
     parts = segments(rows).mapInArrow(_parsed, schema)
     whole = parts.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("at", "first", "last", "n", *_COUNTS, "cells"))).alias("parts"))
-    return whole.mapInArrow(_settled, _EDITS)
+    return whole.mapInArrow(lambda batches: _batched(_settled(batches), _EDIT), _ddl(_EDIT))
 
 
 class _Conversation:
@@ -287,17 +305,6 @@ def _walk(batches: Iterator[pa.RecordBatch], start: Callable, on_row: Callable,
         yield from end(current, state)
 
 
-def _batched(records: Iterator[dict], schema: pa.Schema, size: int = 1000) -> Iterator[pa.RecordBatch]:
-    held = []
-    for record in records:
-        held.append(record)
-        if len(held) == size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
-
-
 def _stream(rows: DataFrame, ids: DataFrame, settled: DataFrame) -> DataFrame:
     """Ids, edits and rows of every conversation together and in order."""
     head = F.struct("piece", "audit", "cost", *_COUNTS)
@@ -336,7 +343,7 @@ def repair(rows: DataFrame) -> DataFrame:
         return _batched(_walk(batches, lambda conv_id: {"conv_id": conv_id, "place": 0}, put, end), _ROW)
 
     staged = stage(ordered(rows), "turns")
-    return _stream(staged, _ids(rows), edits(staged)).mapInArrow(write, "conv_id bigint, place bigint, edit string, role string, text string")
+    return _stream(staged, _ids(rows), edits(staged)).mapInArrow(write, _ddl(_ROW))
 
 
 _DIGEST = pa.schema(
@@ -368,7 +375,4 @@ def digest(rows: DataFrame, conversations: DataFrame) -> DataFrame:
 
     staged = stage(ordered(rows), "turns")
     settled = stage(edits(staged), "edits")
-    whole = _stream(staged, _ids(conversations), settled).mapInArrow(
-        write, ", ".join(f"{f.name} {'bigint' if pa.types.is_int64(f.type) else 'string'}" for f in _DIGEST)
-    )
-    return whole
+    return _stream(staged, _ids(conversations), settled).mapInArrow(write, _ddl(_DIGEST))
