@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -18,27 +19,63 @@ from footfall.operators.radius import THRESHOLD, eps_threshold
 from footfall.session import stage
 
 
+# Coordinates with up to nine decimals become whole numbers and are compared without rounding.
+DECIMALS = 1e9
+# Bound of the rounding of a turn in units of the coordinates' size, with room to spare.
+ROUNDING = 2.0**-50
+
+
+def _whole(values: np.ndarray) -> list[int] | None:
+    """The values as whole numbers of the last decimal, or None when one of them has more decimals."""
+    scaled = np.round(values * DECIMALS)
+    return scaled.astype(np.int64).tolist() if np.array_equal(scaled / DECIMALS, values) else None
+
+
+def _turn(o: tuple, a: tuple, b: tuple) -> int | float | Fraction:
+    """Above zero where o, a, b turn left, zero on one line; without rounding.
+
+    Coordinates stand for the decimals they are written as. Whole numbers are exact as
+    they are; floats are tried first, and where the outcome could be rounding the
+    decimals decide.
+    """
+    left, right = (a[0] - o[0]) * (b[1] - o[1]), (a[1] - o[1]) * (b[0] - o[0])
+    if isinstance(left, int):
+        return left - right
+    size = max(map(abs, (*o, *a, *b)))
+    spans = abs(a[0] - o[0]) + abs(b[1] - o[1]) + abs(a[1] - o[1]) + abs(b[0] - o[0])
+    if abs(left - right) > ROUNDING * size * spans:
+        return left - right
+    o, a, b = (tuple(Fraction(repr(x)) for x in p) for p in (o, a, b))
+    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+
 def _hull(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hull vertices, counter-clockwise from the smallest; fewer than three for a line."""
+    """Hull vertices, counter-clockwise from the smallest; fewer than three for a line.
+
+    Only true corners are vertices: places on a side are left out, also where binary
+    coordinates put them a little beside it.
+    """
     order = np.lexsort((lat, lon))
     lon, lat = lon[order], lat[order]
     # Only the lowest and the highest place of each longitude can be a vertex.
     change = np.flatnonzero(np.diff(lon)) + 1
     ends = np.unique(np.concatenate([[0], change, change - 1, [len(lon) - 1]]))
-    points = list(zip(lon[ends].tolist(), lat[ends].tolist()))
+    lon, lat = lon[ends], lat[ends]
+    x, y = _whole(lon), _whole(lat)
+    points = list(zip(lon.tolist(), lat.tolist())) if x is None or y is None else list(zip(x, y))
+    points = [(*p, k) for k, p in enumerate(points)]
 
     def chain(ordered: list) -> list:
         out: list = []
         for p in ordered:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (
-                p[0] - out[-2][0]
-            ):
+            while len(out) > 1 and _turn(out[-2][:2], out[-1][:2], p[:2]) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]
 
     ring = chain(points) + chain(points[::-1]) if len(points) > 1 else points
-    return np.array([p[0] for p in ring]), np.array([p[1] for p in ring])
+    at = [k for *_, k in ring]
+    return lon[at], lat[at]
 
 
 def _partial_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
