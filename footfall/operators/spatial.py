@@ -6,30 +6,31 @@ which it covers a handful of cells. Only the levels that occur are used.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
-
-from footfall.functions.geo import (
-    BORDER,
-    area_km2,
-    distance_m,
-    m_to_degree,
-    planar_area,
-    ring_box,
-    ring_contains,
-)
+
+from footfall.functions.geo import area_km2, distance_m, m_to_degree, planar_area, ring_contains
 from footfall.functions.grid import explode_sphere_cover, with_sphere_cell
 from footfall.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join
+from footfall.operators.rings import (
+    EDGES_PER_ROW,
+    SLAB,
+    WHOLE_RING,
+    edges_contain,
+    join_slabs,
+    overlap,
+    slab_edges,
+    slab_of,
+    whole_overlap,
+    with_region,
+    with_slabs,
+    within,
+)
 from footfall.session import stage
 
 BASE_DEGREES = 0.001
 CELLS_PER_AXIS = 4
 MAX_LEVEL = 10
-# A ring vertex takes about this share of a typical row; used to bound broadcasts by size.
-VERTICES_PER_ROW = 4
 GRID = ["level", "gy", "gx"]
 
 
@@ -41,14 +42,18 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / _width(level))
 
 
-def _with_box(rois: DataFrame) -> DataFrame:
-    """Bounding box and grid level of each region."""
-    boxed = rois.withColumn("box", ring_box(F.col("ring")))
+def _with_level(rois: DataFrame) -> DataFrame:
+    """Bounding box, key and grid level of each region."""
+    boxed = with_region(rois)
     extent = F.greatest(F.col("box.lon_hi") - F.col("box.lon_lo"), F.col("box.lat_hi") - F.col("box.lat_lo"))
     level = F.ceil(F.log2(F.greatest(extent / (BASE_DEGREES * CELLS_PER_AXIS), F.lit(1.0))) / 2.0)
     return boxed.withColumn("own_level", F.least(level, F.lit(MAX_LEVEL)).cast("int"))
 
 
+def _small() -> Column:
+    return F.size("ring") <= WHOLE_RING + 1
+
+
 def _levels(boxed: DataFrame) -> list[int]:
     """Levels in use: at most ``MAX_LEVEL + 1`` integers."""
     return sorted(r[0] for r in boxed.select("own_level").distinct().collect())
@@ -62,78 +67,46 @@ def _explode_cells(boxed: DataFrame, level: Column) -> DataFrame:
 
 
 def _lookup_points(
-    points: DataFrame, rois: DataFrame, lon: str, lat: str, salt_by: list[str], broadcast_rows: int, hot_rows: int
-) -> DataFrame:
-    """Pairs of a point and a region whose bounding box holds it."""
-    boxed = _with_box(rois)
-    cells = stage(_explode_cells(boxed, F.col("own_level")), "cells")
-    size = 1 + F.size("ring") / VERTICES_PER_ROW
-    levels, rows = cells.agg(F.sort_array(F.collect_set("own_level")), F.coalesce(F.sum(size), F.lit(0.0))).first()
+    points: DataFrame, boxed: DataFrame, lon: str, lat: str, salt_by: list[str], broadcast_rows: int, hot_rows: int
+) -> tuple[DataFrame, bool]:
+    """Pairs of a point and a region whose bounding box holds it, and whether any region is large.
+
+    Large rings stay behind: their pairs have none.
+    """
+    carried = boxed.withColumn("ring", F.when(_small(), F.col("ring")))
+    cells = stage(_explode_cells(carried, F.col("own_level")), "cells")
+    size = 1 + F.coalesce(F.size("ring"), F.lit(0)) / EDGES_PER_ROW
+    levels, rows, large = cells.agg(
+        F.sort_array(F.collect_set("own_level")), F.coalesce(F.sum(size), F.lit(0.0)), F.coalesce(F.bool_or(F.col("ring").isNull()), F.lit(False))
+    ).first()
     placed = points.select("*", F.explode(F.array(*[F.lit(level) for level in levels or [0]])).alias("level"))
     placed = placed.select(
         "*", _cell(F.col(lat), F.col("level")).alias("gy"), _cell(F.col(lon), F.col("level")).alias("gx")
     )
     pairs = lookup_join(placed, cells.drop("own_level"), GRID, salt_by, int(rows), broadcast_rows, hot_rows)
     inside = F.col(lon).between(F.col("box.lon_lo"), F.col("box.lon_hi"))
-    return pairs.filter(inside & F.col(lat).between(F.col("box.lat_lo"), F.col("box.lat_hi"))).drop(*GRID)
+    pairs = pairs.filter(inside & F.col(lat).between(F.col("box.lat_lo"), F.col("box.lat_hi"))).drop(*GRID)
+    return pairs, large
 
 
 def point_in_roi(
     posts: DataFrame, rois: DataFrame, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Posts with the name ``poi`` of each region that holds them, borders included."""
-    pairs = _lookup_points(
-        posts, rois.select("poi", "ring"), "longitude", "latitude", ["post_id"], broadcast_rows, hot_rows
-    )
-    hit = ring_contains(F.col("ring"), F.col("longitude"), F.col("latitude"))
-    return pairs.filter(hit).drop("ring", "box")
-
-
-def _xy(ring: list) -> np.ndarray:
-    return np.array([(v["lon"], v["lat"]) for v in ring])
-
-
-def _holds(ring: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Even-odd test of points against a closed ring; within ``BORDER`` of an edge counts as inside."""
-    a, edge = ring[:-1], np.diff(ring, axis=0)
-    rel = points[:, None, :] - a[None]
-    turn = edge[:, 0] * rel[:, :, 1] - edge[:, 1] * rel[:, :, 0]
-    square = np.maximum((edge**2).sum(axis=1), 1e-300)
-    along = np.clip((rel * edge).sum(axis=2) / square, 0, 1)
-    near = ((rel - along[:, :, None] * edge) ** 2).sum(axis=2) <= BORDER**2
-    above = a[None, :, 1] > points[:, None, 1]
-    spans = above != (ring[None, 1:, 1] > points[:, None, 1])
-    odd = (spans & np.where(edge[:, 1] > 0, turn > 0, turn < 0)).sum(axis=1) % 2 == 1
-    return odd | near.any(axis=1)
-
+    """Posts with the name ``poi`` of each region that holds them, borders included.
 
-def _is_within(inner: np.ndarray, ring: np.ndarray) -> bool:
-    """Whether no part of ``inner`` leaves ``ring``.
-
-    Every inner edge is cut where it meets an edge of the container, end points
-    included. Between two cuts it stays on one side, so the middles of the pieces tell.
+    A post is tested against the whole ring of a small region, and against the edges of
+    its latitude slab of a large one.
     """
-    if not _holds(ring, inner).all():
-        return False
-    c, d = ring[:-1], np.diff(ring, axis=0)
-    for p, q in zip(inner, inner[1:]):
-        e = q - p
-        cross = e[0] * d[:, 1] - e[1] * d[:, 0]
-        rel = c - p
-        meets = np.abs(cross) > 0
-        t = (rel[meets, 0] * d[meets, 1] - rel[meets, 1] * d[meets, 0]) / cross[meets]
-        square = e @ e
-        corners = (rel @ e) / square if square > 0 else np.empty(0)  # for edges on one line
-        cuts = np.unique(np.concatenate([[0.0, 1.0], t[(t > 0) & (t < 1)], corners[(corners > 0) & (corners < 1)]]))
-        middles = (cuts[1:] + cuts[:-1]) / 2
-        if not _holds(ring, p + middles[:, None] * e).all():
-            return False
-    return True
-
-
-@F.pandas_udf(BooleanType())
-def _within(inners: pd.Series, rings: pd.Series) -> pd.Series:
-    return pd.Series([_is_within(_xy(a), _xy(b)) for a, b in zip(inners, rings)], dtype="bool")
+    boxed = with_slabs(_with_level(rois), "lat")
+    pairs, large = _lookup_points(posts, boxed, "longitude", "latitude", ["post_id"], broadcast_rows, hot_rows)
+    x, y, helpers = F.col("longitude"), F.col("latitude"), ["ring", "box", "region", *SLAB]
+    small = pairs.filter(F.col("ring").isNotNull() & ring_contains(F.col("ring"), x, y)).drop(*helpers)
+    if not large:
+        return small
+    slabs = stage(slab_edges(boxed.filter(~_small()), "lat"), "slabs")
+    met = join_slabs(pairs.filter(F.col("ring").isNull()).withColumn("slab", slab_of(y)), slabs, ["post_id"], broadcast_rows, hot_rows)
+    hits = met.filter(edges_contain(F.col("edges"), x, y)).drop(*helpers, "slab", "edges")
+    return small.unionByName(hits)
 
 
 def roi_within_roi(
@@ -142,93 +115,37 @@ def roi_within_roi(
     """Pairs ``inner_poi, poi`` of a region inside another one; equal regions count.
 
     A region inside another has the corner of its box in the other's box, so the
-    candidates are found like points. Rings may be concave.
+    candidates are found like points. Rings may be concave, and of any size.
     """
-    corners = _with_box(inner).select(
+    inners = stage(with_region(inner), "inner")
+    outers = stage(with_slabs(_with_level(container), "lat"), "container")
+    corners = inners.select(
         F.col("poi").alias("inner_poi"),
-        F.col("ring").alias("inner_ring"),
+        F.col("region").alias("inner_region"),
         F.col("box").alias("inner_box"),
         F.col("box.lon_lo").alias("x"),
         F.col("box.lat_lo").alias("y"),
     )
-    pairs = _lookup_points(corners, container.select("poi", "ring"), "x", "y", ["inner_poi"], broadcast_rows, hot_rows)
+    pairs, _ = _lookup_points(corners, outers, "x", "y", ["inner_poi"], broadcast_rows, hot_rows)
     pairs = pairs.filter(
         (F.col("inner_box.lon_hi") <= F.col("box.lon_hi")) & (F.col("inner_box.lat_hi") <= F.col("box.lat_hi"))
     )
-    return pairs.filter(_within(F.col("inner_ring"), F.col("ring"))).select("inner_poi", "poi")
-
-
-def _clip(subject: list, convex: list) -> list:
-    """Part of an open ring inside a counter-clockwise convex ring, cut edge by edge.
-
-    Edges that fall together in the result of a concave subject do not change its area.
-    """
-    for a, b in zip(convex, convex[1:]):
-        sides = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for p in subject]
-        kept = []
-        for j, (cur, s_cur) in enumerate(zip(subject, sides)):
-            prev, s_prev = subject[j - 1], sides[j - 1]
-            if (s_cur >= 0) != (s_prev >= 0):
-                share = s_prev / (s_prev - s_cur)
-                kept.append((prev[0] + share * (cur[0] - prev[0]), prev[1] + share * (cur[1] - prev[1])))
-            if s_cur >= 0:
-                kept.append(cur)
-        subject = kept
-    return subject
-
-
-def _twice_area(ring: list) -> float:
-    """Twice the signed area of an open ring, relative to its first vertex."""
-    x0, y0 = ring[0]
-    return sum(
-        (p[0] - x0) * (q[1] - y0) - (q[0] - x0) * (p[1] - y0) for p, q in zip(ring, ring[1:])
-    )
-
-
-def _common_area(subject: list, other: list) -> float:
-    """Common area of two simple rings, concave or not.
-
-    The second ring is the sum of the signed triangles of its first vertex and each of
-    its edges; the first ring is clipped by each triangle.
-    """
-    subject, total = subject[:-1], 0.0
-    for p, q in zip(other[1:], other[2:]):
-        triangle = [other[0], p, q, other[0]]
-        turn = _twice_area(triangle)
-        if turn == 0:
-            continue
-        part = _clip(subject, triangle if turn > 0 else triangle[::-1])
-        if len(part) > 2:
-            total += abs(_twice_area(part)) if turn > 0 else -abs(_twice_area(part))
-    return abs(total) / 2.0
-
-
-@F.pandas_udf(DoubleType())
-def _overlap(subjects: pd.Series, others: pd.Series) -> pd.Series:
-    areas = []
-    for subject, other in zip(subjects, others):
-        if subject is None or other is None:
-            areas.append(None)
-            continue
-        areas.append(_common_area([(v["lon"], v["lat"]) for v in subject], [(v["lon"], v["lat"]) for v in other]))
-    return pd.Series(areas, dtype="float64")
-
-
-def overlap_area(ring: Column, other: Column) -> Column:
-    """Common area in square degrees of two closed simple rings."""
-    return _overlap(ring, other)
+    pairs = stage(pairs.select("inner_poi", "poi", "inner_region", "region"), "candidates")
+    return within(pairs, inners, outers, broadcast_rows, hot_rows).select("inner_poi", "poi")
 
 
 def overlap_candidates(rois: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of regions whose boxes meet: ``poi, ring, other_poi, other_ring``, each once.
+    """Pairs of regions whose boxes meet, each once: ``poi, region, ring, lat_lo`` and the
+    same with ``other_``; large rings stay behind as null.
 
     A pair meets on the higher of its two levels, in the cell of the corner where the
     boxes start to overlap. Regions wait on their own level for the other side's
     smaller ones, which alone are laid out on higher levels: two small regions never
     meet in a large cell.
     """
-    left = stage(_with_box(rois.select("poi", "ring")), "left")
-    right = stage(_with_box(others.select("poi", "ring")), "right")
+    carried = lambda regions: regions.withColumn("ring", F.when(_small(), F.col("ring")))
+    left = stage(carried(_with_level(rois)), "left")
+    right = stage(carried(_with_level(others)), "right")
     levels = F.array(*[F.lit(level) for level in sorted({*_levels(left), *_levels(right)}) or [0]])
 
     def climbing(boxed: DataFrame, least: Column) -> DataFrame:
@@ -236,7 +153,7 @@ def overlap_candidates(rois: DataFrame, others: DataFrame) -> DataFrame:
         return _explode_cells(boxed.select("*", F.explode(usable).alias("at")), F.col("at")).drop("at")
 
     def named(boxed: DataFrame) -> DataFrame:
-        return boxed.withColumnsRenamed({"poi": "other_poi", "ring": "other_ring", "box": "other_box", "own_level": "other_level"})
+        return boxed.withColumnsRenamed({c: f"other_{c}" for c in ("poi", "ring", "box", "region", "own_level")})
 
     own = F.col("own_level")
     resting = _explode_cells(left, own).join(named(climbing(right, own)), GRID)
@@ -249,14 +166,29 @@ def overlap_candidates(rois: DataFrame, others: DataFrame) -> DataFrame:
         & (x <= F.least("box.lon_hi", "other_box.lon_hi"))
         & (y <= F.least("box.lat_hi", "other_box.lat_hi"))
     )
-    return resting.unionByName(rising).filter(once).select("poi", "ring", "other_poi", "other_ring")
+    names = ["poi", "region", "ring", "other_poi", "other_region", "other_ring"]
+    lows = [F.col("box.lat_lo").alias("lat_lo"), F.col("other_box.lat_lo").alias("other_lat_lo")]
+    return resting.unionByName(rising).filter(once).select(*names, *lows)
+
+
+def _with_overlap(pairs: DataFrame, rois: DataFrame, others: DataFrame) -> DataFrame:
+    """Add the common ``area`` in square degrees: small rings as a whole, others by slabs."""
+    base = F.least("lat_lo", "other_lat_lo")
+    whole = F.col("ring").isNotNull() & F.col("other_ring").isNotNull()
+    small = pairs.filter(whole).withColumn("area", whole_overlap(F.col("ring"), F.col("other_ring"), base))
+    left, right = (with_region(side) for side in (rois, others))
+    if left.filter(~_small()).isEmpty() and right.filter(~_small()).isEmpty():
+        return small
+    rest = stage(pairs.filter(~whole), "pairs")
+    sums = overlap(rest, left, right)
+    zero = F.coalesce("area", F.lit(0.0))
+    return small.unionByName(rest.join(sums, ["region", "other_region"], "left").withColumn("area", zero))
 
 
 def roi_overlap(rois: DataFrame, others: DataFrame) -> DataFrame:
     """Regions that share area with other regions: ``poi, other_poi, area`` in square degrees."""
-    area = overlap_area(F.col("ring"), F.col("other_ring"))
-    pairs = overlap_candidates(rois, others)
-    return pairs.select("poi", "other_poi", area.alias("area")).filter(F.col("area") > 0)
+    pairs = _with_overlap(overlap_candidates(rois, others), rois, others)
+    return pairs.select("poi", "other_poi", "area").filter(F.col("area") > 0)
 
 
 def roi_area(rois: DataFrame, planar: bool = False) -> DataFrame:
@@ -271,14 +203,14 @@ def roi_quality(real: DataFrame, found: DataFrame) -> DataFrame:
     the real region, in square degrees. Real regions without a match keep null
     measures, so they stay visible.
     """
-    pairs = real.select("poi", "ring").join(found.select("poi", F.col("ring").alias("found_ring")), "poi", "left")
-    areas = pairs.select(
-        "poi",
-        F.col("found_ring").isNotNull().alias("matched"),
-        overlap_area(F.col("ring"), F.col("found_ring")).alias("tp"),
-        planar_area(F.col("found_ring")).alias("found_area"),
-        planar_area(F.col("ring")).alias("real_area"),
-    )
+    real, found = stage(real.select("poi", "ring"), "real"), stage(found.select("poi", "ring"), "found")
+    carried = F.when(_small(), F.col("ring")).alias("ring")
+    side = lambda rois: with_region(rois).select("poi", "region", carried, F.col("box.lat_lo").alias("lat_lo"), planar_area(F.col("ring")).alias("area"))
+    other = side(found).withColumnsRenamed({c: f"other_{c}" for c in ("region", "ring", "lat_lo")}).withColumnRenamed("area", "found_area")
+    pairs = side(real).withColumnRenamed("area", "real_area").join(other, "poi", "left")
+    met = _with_overlap(pairs.filter(F.col("other_region").isNotNull()), real, found).withColumnRenamed("area", "tp")
+    alone = pairs.filter(F.col("other_region").isNull()).withColumn("tp", F.lit(None).cast("double"))
+    areas = met.unionByName(alone).select("poi", F.col("other_region").isNotNull().alias("matched"), "tp", "found_area", "real_area")
     matched = F.col("matched")
     areas = areas.select(
         "poi",

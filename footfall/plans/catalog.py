@@ -17,6 +17,7 @@ from footfall.functions.geo import (
     distance_m,
     m_to_degree,
     planar_area,
+    ring_box,
     rectangle,
 )
 from footfall.functions.grid import cell_centre, with_cell
@@ -132,7 +133,7 @@ def _place_boxes(spark: SparkSession, sf_dir: str, with_tag: str | None = None)
 
 
 def _ring_rows(rois: DataFrame) -> DataFrame:
-    box = spatial._with_box(rois)
+    box = rois.withColumn("box", ring_box(F.col("ring")))
     return box.select(
         "poi",
         F.size("ring").cast("bigint").alias("vertices"),
