@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.geo import EARTH_RADIUS_KM, distance_m, m_to_degree
@@ -18,28 +18,46 @@ NEIGHBOURS = 4
 # From about the step of seven-decimal coordinates to 65 km.
 FIRST_SIDE_M = 4.0 / 4**4
 LEVELS = 12
-CROWDED = 12
-# Small tables may start with fuller cells, as long as the first round makes no more pairs than this.
-FIRST_PAIRS = 2_000_000
+CROWDED = 24
 HALF_CIRCLE_M = math.pi * EARTH_RADIUS_KM * 1000.0
+# Bits of each axis in the position along the space-filling curve; a step is 19 mm.
+AXIS_BITS = 31
+_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
-def _first_sides(locations: DataFrame, rows: int) -> DataFrame:
-    """Widest of a few cell sides at which no cell of a keyword is crowded: ``term, side``.
+def _bits_apart(value: Column) -> Column:
+    for shift, mask in _SPREAD:
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+    return value
 
-    The choice affects only the amount of work. Starting with cells that are not
-    crowded keeps the pairs of the first round few; later rounds treat only points
-    with fewer than k neighbours in the round before, of which only a bounded
-    number fits around any candidate.
+
+def curve_position(lon: Column, lat: Column) -> Column:
+    """Place on a Z-order curve: the leading bits of two positions tell the quadtree cells they share."""
+    step = 2.0**AXIS_BITS / 360.0
+    axis = lambda degrees: F.least(F.floor(degrees * step), F.lit(2**AXIS_BITS - 1)).cast("bigint")
+    return F.shiftleft(_bits_apart(axis(lat + 90.0)), 1).bitwiseOR(_bits_apart(axis(lon + 180.0)))
+
+
+def _with_side(locations: DataFrame) -> DataFrame:
+    """Add the ``side`` of the search cells of each place, in metres.
+
+    It is about the side of the largest quadtree cell around the place that holds no
+    more than ``CROWDED`` places of the keyword, so a crowded spot makes cells small
+    around itself only. In curve order a cell is a run of places: a cell with more
+    contains one of the runs of ``CROWDED`` + 1 that the place is in, and the first
+    bits that the ends of a run share give its cell. Runs are cut at the borders of
+    partitions, where cells may come out larger; the choice affects only the work.
     """
-    sides = F.array(*[F.lit(FIRST_SIDE_M * 4.0**level) for level in range(LEVELS)])
-    levels = locations.select("term", "lon", "lat", F.explode(sides).alias("side"))
-    cells = with_sphere_cell(levels, m_to_degree(F.col("side")))
-    crowd = cells.groupBy("term", "side", "row", "col").agg(F.count(F.lit(1)).alias("m"))
-    worst = crowd.groupBy("term", "side").agg(F.max("m").alias("m"))
-    crowded = max(CROWDED, FIRST_PAIRS // (9 * max(1, rows)))
-    usable = F.max(F.when(F.col("m") <= crowded, F.col("side")))
-    return worst.groupBy("term").agg(F.coalesce(usable, F.lit(FIRST_SIDE_M)).alias("side"))
+    at = locations.withColumn("z", curve_position(F.col("lon"), F.col("lat")))
+    dealt = at.repartitionByRange("term", "z").withColumn("part", F.spark_partition_id())
+    order = Window.partitionBy("term", "part").orderBy("z")
+    differ = F.col("z").bitwiseXOR(F.lead("z", CROWDED).over(order))
+    level = F.when(differ == 0, 0).otherwise(F.floor(F.floor(F.log2(differ.cast("double"))) / 2) + 1)
+    runs = dealt.withColumn("run_level", level.cast("int"))
+    crowded = F.min("run_level").over(order.rowsBetween(-CROWDED, 0))
+    steps = F.floor((F.coalesce(crowded, F.lit(2 * LEVELS)) - 1) / 2)
+    steps = F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), steps))
+    return runs.withColumn("side", F.pow(F.lit(4.0), steps) * FIRST_SIDE_M).drop("z", "part", "run_level")
 
 
 def knn_distance(
@@ -55,43 +73,53 @@ def knn_distance(
     for everyone else. Places with fewer than k points elsewhere are left out: their
     keyword has at most k places and cannot form a region.
 
-    Each round looks for neighbours within one cell side, in the cells around the
-    point. A point that finds k there is done, since anything missed is farther
+    Each round looks for neighbours within one cell side of the place, in the cells
+    around it. A point that finds k there is done, since anything missed is farther
     away than the side. The others go on with cells twice as large.
     """
     locations = stage(locations, "locations")
     rows = locations.count()
-    totals = locations.groupBy("term").agg(F.sum("w").alias("total"))
-    sides = stage(totals.join(_first_sides(locations, rows), "term"), "sides")
-    placed = lookup_join(locations, sides, ["term"], ["lon", "lat"])
-    every = placed.drop("total")
-    open_points = placed.filter(F.col("total") - F.col("w") >= k).drop("total")
-    open_rows, factor, done = rows, 1.0, []
+    totals = stage(locations.groupBy("term").agg(F.sum("w").alias("total")), "totals")
+    terms = totals.count()
+    placed = lookup_join(_with_side(locations), totals, ["term"], ["lon", "lat"], terms, broadcast_rows, hot_rows)
+    open_points = stage(placed.filter(F.col("total") - F.col("w") >= k).drop("total"), "open")
+    open_rows, factor, done = open_points.count(), 1.0, []
     while open_rows:
-        found = _round(every, open_points, factor, k, rows, open_rows, broadcast_rows, hot_rows)
-        found = stage(found, "knn")
+        found = stage(_round(locations, open_points, factor, k, rows, open_rows, terms, broadcast_rows, hot_rows), "knn")
         done.append(found.filter(F.col("dist").isNotNull()))
         open_points = found.filter(F.col("dist").isNull()).drop("dist")
         open_rows = open_points.count()
         # Few open points make few pairs even in large cells.
         factor *= 4.0 if open_rows <= broadcast_rows // 16 else 2.0
     if not done:
-        return every.select(*PLACE, "w", F.lit(None).cast("double").alias("dist"))
+        return locations.select(*PLACE, "w", F.lit(None).cast("double").alias("dist"))
     return reduce(DataFrame.unionByName, done).select(*PLACE, "w", "dist")
 
 
-def _round(every, open_points, factor, k, rows, open_rows, broadcast_rows, hot_rows) -> DataFrame:
-    """Search one cell side around the open points; ``dist`` stays null without k neighbours."""
+def candidate_pairs(every, open_points, factor, rows, open_rows, terms, broadcast_rows, hot_rows) -> DataFrame:
+    """Open points with the places in the cells around them.
+
+    Points with cells of one size meet on the grid of that size. Every place is laid
+    out once for each size that open points of its keyword still use: at most
+    ``LEVELS``, and few after the first round.
+    """
     reach = F.least(F.col("side") * factor, F.lit(HALF_CIRCLE_M))
     side = m_to_degree(reach)
     queries = open_points.select("term", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), "side")
     queries = explode_sphere_cover(queries, side, side, "q_lat", "q_lat", "q_lon", "q_lon")
-    cells = with_sphere_cell(every, side).drop("side")
-    keys = ["term", "row", "col"]
+    used = open_points.groupBy("term").agg(F.collect_set("side").alias("sides"))
+    cells = lookup_join(every, used, ["term"], ["lon", "lat"], terms, broadcast_rows, hot_rows)
+    cells = with_sphere_cell(cells.withColumn("side", F.explode("sides")).drop("sides"), side)
+    keys = ["term", "side", "row", "col"]
     if open_rows <= broadcast_rows // 16:
-        pairs = cells.join(F.broadcast(queries), keys)
-    else:
-        pairs = salted_join(cells, queries, keys, ["lon", "lat"], rows=rows, hot_rows=hot_rows)
+        return cells.join(F.broadcast(queries), keys)
+    return salted_join(cells, queries, keys, ["lon", "lat"], rows=rows, hot_rows=hot_rows)
+
+
+def _round(every, open_points, factor, k, rows, open_rows, terms, broadcast_rows, hot_rows) -> DataFrame:
+    """Search one cell side around the open points; ``dist`` stays null without k neighbours."""
+    pairs = candidate_pairs(every, open_points, factor, rows, open_rows, terms, broadcast_rows, hot_rows)
+    reach = F.least(F.col("side") * factor, F.lit(HALF_CIRCLE_M))
     apart = (F.col("lon") != F.col("q_lon")) | (F.col("lat") != F.col("q_lat"))
     pairs = pairs.filter(apart).withColumn("d", distance_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")))
     pairs = pairs.filter(F.col("d") <= reach)

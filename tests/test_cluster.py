@@ -219,15 +219,23 @@ def test_min_points_is_strict(spark):
     assert points.term_sizes(frame).agg(F.sum("n")).first()[0] == 51
 
 
-def test_crowded_cells_start_small(spark):
-    """Thousands of places within four metres: the first cells hold a few of them each."""
-    rng = np.random.default_rng(9)
-    rows = [("t", 12.5 + float(x), 41.9 + float(y), 1) for x, y in rng.uniform(0, 3.5e-5, (3000, 2))]
-    crowd = stage(spark.createDataFrame(rows, "term string, lon double, lat double, w long"), "crowd")
-    side = knn._first_sides(crowd, 10**9).first().side
-    assert side < 0.5
-    got = {(r.lon, r.lat): r.dist for r in knn.knn_distance(crowd, 4).collect()}
-    lat, lon = (np.array([r[i] for r in rows]) for i in (2, 1))
-    for i in range(0, 3000, 500):
-        apart = np.sort(np.hypot((lat - lat[i]) * 111194.93, (lon - lon[i]) * 111194.93 * np.cos(np.radians(41.9))))
-        assert abs(got[lon[i], lat[i]] - apart[4]) < 0.01
+
+def test_one_crowded_cell_stays_its_own_affair(spark):
+    """Many spread places and one crowded spot: the pairs of every round are linear in the places."""
+    rng = np.random.default_rng(8)
+    spread, crowd = 20_000, 3_000
+    lon = np.concatenate([rng.uniform(12.0, 13.0, spread), 12.5 + rng.uniform(0, 2e-6, crowd)])
+    lat = np.concatenate([rng.uniform(41.0, 42.0, spread), 41.5 + rng.uniform(0, 2e-6, crowd)])
+    rows = [("t", float(x), float(y), 1) for x, y in zip(lon, lat)]
+    places = stage(spark.createDataFrame(rows, "term string, lon double, lat double, w bigint"), "crowd")
+    sided = stage(knn._with_side(places), "sided")
+    near, far = sided.filter("abs(lon - 12.5) < 3e-6 AND abs(lat - 41.5) < 3e-6"), sided.filter("abs(lon - 12.5) > 0.01")
+    assert near.agg(F.max("side")).first()[0] < 1 and far.agg(F.min("side")).first()[0] > 100
+    pairs = knn.candidate_pairs(places, sided, 1.0, len(rows), len(rows), 1, 200_000, 1_000_000).count()
+    assert pairs < 150 * len(rows)
+    got = {(r.lon, r.lat): r.dist for r in knn.knn_distance(places, 4).collect()}
+    assert len(got) == len(rows)
+    for i in [*range(0, spread, 997), *range(spread, len(rows), 499)]:
+        h = np.sin(np.radians(lat - lat[i]) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lat[i])) * np.sin(np.radians(lon - lon[i]) / 2) ** 2
+        d = np.sort(2 * R * np.arcsin(np.sqrt(h)))[4]
+        assert got[lon[i], lat[i]] == pytest.approx(d, abs=2e-6)
