@@ -27,7 +27,6 @@ PAIR = ["term", "a_row", "a_col", "b_row", "b_col"]
 # Two boxes with at most this many pairs of core places are compared place by place.
 BOX_PAIRS = 1024
 SPLIT = 8
-MAX_DEPTH = 9
 # Links that one task joins up at a time, and the side of a tile in cells.
 GROUP_LINKS = 200_000
 TILE = 64
@@ -78,12 +77,13 @@ def eps_neighbours(
         _ends(boxes, "a", extra), _side(F.col("a_eps")), reach, "a_lat_lo", "a_lat_hi", "a_lon_lo", "a_lon_hi"
     ).withColumnsRenamed({"row": "b_row", "col": "b_col"})
     pairs = cover.join(_ends(boxes, "b", ["box", "w"]), ["term", "b_row", "b_col"])
-    for depth in range(MAX_DEPTH + 1):
+    # A box of several places always falls into smaller ones, so the pairs get small.
+    while True:
         pairs = stage(_judge(pairs.withColumnRenamed("a_eps", "eps")), "box_pairs")
         whole = pairs.filter("linked").groupBy("term", "a_row", "a_col", "a_box").agg(F.sum("b_w").alias("near"))
         whole = whole.withColumnsRenamed({"a_row": "row", "a_col": "col", "a_box": "box"})
         counts.append(salted_join(places, whole, [*CELL, "box"], ["lon", "lat"], hot_rows=hot_rows).select(*PLACE, "near"))
-        small = (F.col("a_m") * F.col("b_m") <= box_pairs) | F.lit(depth == MAX_DEPTH)
+        small = F.col("a_m") * F.col("b_m") <= box_pairs
         cut = _close_places(pairs.filter(~F.col("linked") & small), places, ["box"])
         cut = cut.groupBy("term", F.col("a_lon").alias("lon"), F.col("a_lat").alias("lat"))
         counts.append(cut.agg(F.sum("b_w").alias("near")).select(*PLACE, "near"))
@@ -198,14 +198,14 @@ def _cell_links(core: DataFrame, cells: DataFrame, box_pairs: int, hot_rows: int
     box = F.lit(0).cast("bigint")
     places, boxes = core.withColumn("box", box), cells.withColumn("box", box)
     large = large.select(*PAIR, box.alias("a_box"), box.alias("b_box"))
-    for depth in range(1, MAX_DEPTH + 1):
+    while True:
         places, boxes = _finer_boxes(places, boxes, large, hot_rows)
         pairs = _finer_pairs(large, boxes, ["box", "eps"], ["box"])
         pairs = stage(_judge(pairs.withColumnRenamed("a_eps", "eps")), "box_pairs")
         linked = pairs.filter("linked").select(*PAIR).distinct()
         links = links.unionByName(linked)
         unsettled = pairs.filter(~F.col("linked")).join(linked, PAIR, "left_anti")
-        small = (F.col("a_m") * F.col("b_m") <= box_pairs) | F.lit(depth == MAX_DEPTH)
+        small = F.col("a_m") * F.col("b_m") <= box_pairs
         links = links.unionByName(_close_places(unsettled.filter(small), places, ["box"]).select(*PAIR))
         large = stage(unsettled.filter(~small).select(*PAIR, "a_box", "b_box"), "large")
         if large.isEmpty():
@@ -224,7 +224,9 @@ def _split_boxes(places: DataFrame, parents: DataFrame, hot_rows: int) -> DataFr
         scaled = F.floor((F.col(axis) - low) / (high - low) * SPLIT)
         return F.when(high > low, F.least(F.lit(SPLIT - 1), scaled)).otherwise(F.lit(0)).cast("bigint")
 
-    finer = F.col("box") * SPLIT * SPLIT + part("lat") * SPLIT + part("lon")
+    # Boxes keep their parent, so two of them would have to share it to be mixed up, and
+    # would then only count as one box.
+    finer = F.xxhash64("box", part("lat"), part("lon"))
     return inside.select(*CELL, "lon", "lat", "w", "eps", F.col("box").alias("parent"), finer.alias("box"))
 
 

@@ -239,3 +239,17 @@ def test_one_crowded_cell_stays_its_own_affair(spark):
         h = np.sin(np.radians(lat - lat[i]) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lat[i])) * np.sin(np.radians(lon - lon[i]) / 2) ** 2
         d = np.sort(2 * R * np.arcsin(np.sqrt(h)))[4]
         assert got[lon[i], lat[i]] == pytest.approx(d, abs=2e-6)
+
+
+def test_boxes_are_split_until_their_pairs_are_few(spark):
+    """Places that crowd towards one point ever more: no level of boxes is the last."""
+    rng = np.random.default_rng(3)
+    nested = [(12.5 + 8.0**-k * 1e-3 * a, 41.5 + 8.0**-k * 1e-3 * b) for k in range(12) for a, b in rng.uniform(0.5, 1, (6, 2))]
+    rows = [("t", float(x), float(y), 1) for x, y in nested]
+    places = spark.createDataFrame(rows, "term string, lon double, lat double, w bigint")
+    radii = spark.createDataFrame([("t", 60.0)], "term string, eps double")
+    got = {(r.lon, r.lat): r.neighbours for r in cluster.eps_neighbours(places, radii, box_pairs=2).collect()}
+    lon, lat = (np.array([r[i] for r in rows]) for i in (1, 2))
+    near = distances(lat, lon) <= 60.0
+    assert [got[x, y] for x, y in zip(lon, lat)] == (near.sum(axis=1) - 1).tolist()
+    assert 0 < near.sum() < near.size
