@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.operators.curves import elbow, histogram, with_positions
-from footfall.operators.joins import HOT_ROWS, hot_keys
+from footfall.operators.joins import HOT_ROWS, hot_keys, lookup_join, salted_join
 from footfall.operators.text import (
     CELL,
     cell_bag,
@@ -22,7 +22,7 @@ from footfall.session import stage
 
 def term_idf_join(tf: DataFrame, idf_table: DataFrame) -> DataFrame:
     """Attach the weight of each term; terms without one are dropped."""
-    return tf.join(idf_table.select("term", "idf"), "term")
+    return lookup_join(tf, idf_table.select("term", "idf"), ["term"], CELL)
 
 
 def scored(tf: DataFrame, idf_table: DataFrame) -> DataFrame:
@@ -45,47 +45,46 @@ def global_elbow(tf: DataFrame) -> DataFrame:
 def local_elbow(scores: DataFrame) -> DataFrame:
     """Terms at or above the elbow of the scores of their cell (``scores`` is staged).
 
-    Cells with fewer than three terms keep them all. There is one cut per cell, so
-    the planner may broadcast the cuts, or split a cell with very many terms.
+    Cells with fewer than three terms keep them all.
     """
     curve = histogram(scores, CELL, "score")
     cuts = elbow(curve, CELL, "score", rows=scores.count()).select(*CELL, F.col("y").alias("cut"))
-    return scores.join(cuts, CELL).filter(F.col("score") >= F.col("cut")).drop("cut")
+    return lookup_join(scores, cuts, CELL, ["term"]).filter(F.col("score") >= F.col("cut")).drop("cut")
 
 
-def _staged_bag(posts: DataFrame, size_m: float) -> DataFrame:
-    return stage(cell_bag(posts, size_m), "bag")
+def _staged_bag(posts: DataFrame, size_m: float, ref_lat: float | None) -> DataFrame:
+    return stage(cell_bag(posts, size_m, ref_lat), "bag")
 
 
-def lcurve_scores(posts: DataFrame, stop_words: DataFrame, size_m: float = 200) -> DataFrame:
+def lcurve_scores(posts: DataFrame, stop_words: DataFrame, size_m: float = 200, ref_lat: float | None = None) -> DataFrame:
     """Terms above the global and the local elbow: ``cell_y, cell_x, term, tf, score``."""
-    bag = _staged_bag(posts, size_m)
-    tf = cell_term_frequency(bag, stop_words)
+    bag = _staged_bag(posts, size_m, ref_lat)
+    tf = stage(cell_term_frequency(bag, stop_words), "counts")
     weights = idf(document_frequency(tf), cell_count(bag), "lcurve")
     frequent = tf.filter(F.col("tf") > global_elbow(tf).scalar())
     return local_elbow(stage(scored(frequent, weights), "scores"))
 
 
-def keywords_lcurve(posts: DataFrame, stop_words: DataFrame, size_m: float = 200) -> DataFrame:
+def keywords_lcurve(posts: DataFrame, stop_words: DataFrame, size_m: float = 200, ref_lat: float | None = None) -> DataFrame:
     """Keywords by the two elbow cuts, with the number of cells that name them: ``term, cells``."""
-    return lcurve_scores(posts, stop_words, size_m).groupBy("term").agg(F.count(F.lit(1)).alias("cells"))
+    return lcurve_scores(posts, stop_words, size_m, ref_lat).groupBy("term").agg(F.count(F.lit(1)).alias("cells"))
 
 
 def tfidf_topn_scores(
-    posts: DataFrame, stop_words: DataFrame, size_m: float = 200, min_count: int = 100, top_n: int = 10
+    posts: DataFrame, stop_words: DataFrame, size_m: float = 200, min_count: int = 100, top_n: int = 10, ref_lat: float | None = None
 ) -> DataFrame:
     """The best terms of each cell among those that occur at least ``min_count`` times in it."""
-    bag = _staged_bag(posts, size_m)
-    tf = cell_term_frequency(bag, stop_words)
+    bag = _staged_bag(posts, size_m, ref_lat)
+    tf = stage(cell_term_frequency(bag, stop_words), "counts")
     weights = idf(document_frequency(tf), cell_count(bag), "topn")
     return top_n_per_cell(scored(tf.filter(F.col("tf") >= min_count), weights), top_n)
 
 
 def keywords_tfidf_topn(
-    posts: DataFrame, stop_words: DataFrame, size_m: float = 200, min_count: int = 100, top_n: int = 10
+    posts: DataFrame, stop_words: DataFrame, size_m: float = 200, min_count: int = 100, top_n: int = 10, ref_lat: float | None = None
 ) -> DataFrame:
     """Keywords by score rank: ``term, cells``."""
-    best = tfidf_topn_scores(posts, stop_words, size_m, min_count, top_n)
+    best = tfidf_topn_scores(posts, stop_words, size_m, min_count, top_n, ref_lat)
     return best.groupBy("term").agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -101,7 +100,7 @@ def ranked_keywords(scores: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     curve = with_positions(histogram(scores, CELL, "score"), CELL, "score", hot_rows=hot_rows)
     ties = Window.partitionBy(*CELL, "score").orderBy("term")
     return (
-        scores.join(curve.select(*CELL, "score", "start"), [*CELL, "score"])
+        salted_join(scores, curve.select(*CELL, "score", "start"), [*CELL, "score"], ["term"], hot_rows=hot_rows)
         .withColumn("rank", (F.col("start") + F.row_number().over(ties)).cast("int"))
         .drop("start")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.grid import cell_centre, with_cell
 from footfall.functions.tags import is_not_builtin_stop, is_plain_word
+from footfall.operators.joins import lookup_join
 
 CELL = ["cell_y", "cell_x"]
 
@@ -116,7 +117,8 @@ def log_tf(tf: DataFrame) -> DataFrame:
 def relative_tf(tf: DataFrame) -> DataFrame:
     """Add ``relative_tf``, the share of the term in its cell."""
     totals = tf.groupBy(*CELL).agg(F.sum("tf").alias("_total"))
-    return tf.join(totals, CELL).withColumn("relative_tf", F.col("tf") / F.col("_total")).drop("_total")
+    whole = lookup_join(tf, totals, CELL, ["term"])
+    return whole.withColumn("relative_tf", F.col("tf") / F.col("_total")).drop("_total")
 
 
 def tf_histogram(tf: DataFrame) -> DataFrame:

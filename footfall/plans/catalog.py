@@ -672,10 +672,33 @@ def sequence_rules(spark, sf_dir):
 
 @query
 def mobility_pipeline(spark, sf_dir):
-    tables = jobs.pipeline(derived.posts(spark, sf_dir), stop_words=_stop(spark))
+    tables = jobs.pipeline(stage(derived.posts(spark, sf_dir), "posts"), stop_words=_stop(spark))
     return _rule_rows(tables["rules"], "confidence", "lift", "support")
 
 
+def _named_rows(table: str, rows: DataFrame, name, value) -> DataFrame:
+    return rows.select(F.lit(table).alias("table_name"), name.alias("name"), F.round(value.cast("double"), 6).alias("value"))
+
+
+def _set_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    arrow = F.concat_ws("=>", F.array_join("antecedent", ","), F.array_join("consequent", ","))
+    sets = _named_rows("itemsets", tables["itemsets"], F.array_join("items", ","), F.col("freq"))
+    return sets.unionByName(_named_rows("rules", tables["rules"], arrow, F.col("confidence")))
+
+
+@query
+def mobility_tables(spark, sf_dir):
+    """All tables of the pipeline, written as results and read back."""
+    path = stage_path(spark, "results")
+    posts = stage(derived.posts(spark, sf_dir), "posts")
+    sources.write_results(jobs.pipeline(posts, stop_words=_stop(spark)), path)
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("keywords", "rois", "itemsets", "rules", "rejected")}
+    rows = _named_rows("keywords", tables["keywords"], F.col("term"), F.col("cells"))
+    rows = rows.unionByName(_named_rows("rois", tables["rois"], F.col("poi"), F.size("ring") - 1)).unionByName(_set_rows(tables))
+    rejected = tables["rejected"].agg(F.count(F.lit(1)).alias("n"))
+    return rows.unionByName(_named_rows("rejected", rejected, F.lit("posts"), F.col("n")))
+
+
 @query
 def roi_job(spark, sf_dir):
     path = f"{stage_path(spark, 'files')}/keywords.txt"
@@ -689,3 +712,23 @@ def trajectory_job(spark, sf_dir):
     kml.write_roi_kml(derived.place_regions(spark), path)
     tables = jobs.trajectory_job(spark, _json_copy(spark, sf_dir, wrapped=True), path)
     return _sequence_rule_rows(tables["sequence_rules"])
+
+
+@query
+def trajectory_tables(spark, sf_dir):
+    """All tables of the trajectory job, over a box of posts around the places."""
+    path = stage_path(spark, "kml")
+    kml.write_roi_kml(derived.place_regions(spark), path)
+    tables = jobs.trajectory_job(spark, _json_copy(spark, sf_dir, wrapped=False), path, bounds=(41.0, 12.0, 42.0, 13.0))
+    arrow = F.concat_ws("=>", F.array_join("antecedent", ">"), F.array_join("consequent", ">"))
+    rows = _named_rows("sequences", tables["sequences"], F.array_join("items", ">"), F.col("freq"))
+    rows = rows.unionByName(_named_rows("sequence_rules", tables["sequence_rules"], arrow, F.col("confidence")))
+    return rows.unionByName(_set_rows(tables))
+
+
+@query
+def roi_job_vertices(spark, sf_dir):
+    """The rings of the region job, corner by corner."""
+    path = f"{stage_path(spark, 'files')}/keywords.txt"
+    _keywords(spark).write.text(path)
+    return _vertices(jobs.roi_job(spark, _json_copy(spark, sf_dir, wrapped=False), path, bounds=(0.0, 0.0, 90.0, 180.0)), "poi")

@@ -30,18 +30,23 @@ def pipeline(
     cap: int | None = None,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = SET_CONFIDENCE,
+    ref_lat: float | None = None,
+    **region_options,
 ) -> dict[str, DataFrame]:
     """Keywords, regions, frequent place sets and rules of ``posts``, and the posts
     ``rejected`` because their date does not parse.
 
     Given ``keywords`` or ``rois`` replace the steps that would compute them.
+    ``ref_lat`` is the latitude that the keyword grid fits; ``region_options`` are those
+    of :func:`extract_rois` (``neighbours``, ``threshold``, ``min_pts``, ``minimum``).
+    The posts are read up to three times: pass a written table if they are costly.
     """
     if rois is None:
         if keywords is None:
             if stop_words is None:
                 raise ValueError("computing keywords needs a table of stop words")
-            keywords = stage(keywords_lcurve(posts, stop_words, size_m), "keywords")
-        rois = stage(extract_rois(posts, keywords, cap), "rois")
+            keywords = stage(keywords_lcurve(posts, stop_words, size_m, ref_lat), "keywords")
+        rois = stage(extract_rois(posts, keywords, cap, **region_options), "rois")
     baskets = stage(transactions(user_day_places(visits(posts, rois))), "baskets")
     itemsets, rules = itemsets_and_rules(baskets, min_support, min_confidence)
     tables = {"rois": rois, "itemsets": itemsets, "rules": rules, "rejected": rejected_dates(posts)}
@@ -74,9 +79,16 @@ def mobility_job(
     )
 
 
-def roi_job(spark: SparkSession, dataset_path: str, keywords_path: str, cap: int | None = None) -> DataFrame:
-    """Regions of the keywords of a file."""
-    return extract_rois(read_posts(spark, dataset_path), read_terms(spark, keywords_path), cap)
+def roi_job(
+    spark: SparkSession,
+    dataset_path: str,
+    keywords_path: str,
+    cap: int | None = None,
+    bounds: tuple[float, float, float, float] | None = None,
+    **region_options,
+) -> DataFrame:
+    """Regions ``poi, ring`` of the keywords of a file; options as in :func:`extract_rois`."""
+    return extract_rois(read_posts(spark, dataset_path, bounds), read_terms(spark, keywords_path), cap, **region_options)
 
 
 def trajectory_rules(
@@ -102,6 +114,8 @@ def trajectory_rules(
     }
 
 
-def trajectory_job(spark: SparkSession, dataset_path: str, rois_path: str, **options) -> dict[str, DataFrame]:
+def trajectory_job(
+    spark: SparkSession, dataset_path: str, rois_path: str, bounds: tuple[float, float, float, float] | None = None, **options
+) -> dict[str, DataFrame]:
     """:func:`trajectory_rules` over files: posts by extension, regions as KML."""
-    return trajectory_rules(read_posts(spark, dataset_path), read_roi_kml(spark, rois_path), **options)
+    return trajectory_rules(read_posts(spark, dataset_path, bounds), read_roi_kml(spark, rois_path), **options)

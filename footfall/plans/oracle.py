@@ -455,6 +455,15 @@ AND (f.lon_hi <= (b.lon_lo + b.lon_hi) / 2 OR f.lat_hi <= (b.lat_lo + b.lat_hi)
     "mobility_pipeline": """SELECT antecedent, consequent, round(confidence, 6) AS confidence, round(lift, 6) AS lift,
   round(support, 6) AS support FROM w_set_rules""",
     "roi_job": ROI_AREAS,
+    "roi_job_vertices": "SELECT term AS poi, round(lon, 9) AS lon, round(lat, 9) AS lat FROM hull_edges",
+    "mobility_tables": """SELECT 'keywords' AS table_name, term AS name, CAST(count(*) AS DOUBLE) AS value FROM kept_scores GROUP BY term
+UNION ALL SELECT 'rois', term, CAST(count(*) AS DOUBLE) FROM w_hull_edges GROUP BY term
+UNION ALL SELECT 'itemsets', array_to_string(items, ','), CAST(freq AS DOUBLE) FROM w_itemsets
+UNION ALL SELECT 'rules', antecedent || '=>' || consequent, round(confidence, 6) FROM w_set_rules UNION ALL SELECT 'rejected', 'posts', 0.0e0""",
+    "trajectory_tables": """SELECT 'sequences' AS table_name, array_to_string(items, '>') AS name, CAST(freq AS DOUBLE) AS value FROM sequences
+UNION ALL SELECT 'sequence_rules', antecedent || '=>' || consequent, round(confidence, 6) FROM seq_rules
+UNION ALL SELECT 'itemsets', array_to_string(items, ','), CAST(freq AS DOUBLE) FROM itemsets
+UNION ALL SELECT 'rules', antecedent || '=>' || consequent, round(confidence, 6) FROM set_rules""",
     "trajectory_job": SEQUENCE_RULES,
 }
 
