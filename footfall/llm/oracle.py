@@ -5,7 +5,7 @@ from __future__ import annotations
 from footfall.llm.decontaminate import SLACK, WINDOW
 from footfall.llm.line_dedup import MIN_DOCS
 from footfall.llm.quality_rules import MAX_HOST_RATE, PRIOR_DOCUMENTS
-from footfall.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, ASSIGN_VALUE, CLASSES, HEX, KINDS
+from footfall.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, ASSIGN_VALUE, CLASSES, HEX, KINDS, NEXT_STEPS
 from footfall.llm.secret_scan import WINDOW as ENTROPY_WINDOW
 from footfall.llm.text import LOWER, UPPER
 
@@ -85,14 +85,16 @@ def _spans(kind: str, pattern: str, keep: str = "true") -> str:
 def _secrets() -> str:
     value = f"regexp_extract(v, {_quoted(f'^{ASSIGN}({ASSIGN_VALUE})$')}, 1)"
     base = [_spans("assign", ASSIGN + ASSIGN_VALUE, f"length({value}) >= 6"), _spans("access", ACCESS), _spans("hex", HEX)]
-    allowed = " AND ".join(f"NOT regexp_matches(v, {_quoted(p)})" for p in ALLOWED)
+    part = f"substr(v, low, high - low + {ENTROPY_WINDOW})"
+    allowed = " AND ".join(f"NOT regexp_matches({part}, {_quoted(p)})" for p in ALLOWED)
+    steps = "list_sum(list_transform(range(1, length(win)), lambda j: CASE WHEN ascii(win[j + 1:j + 1]) = ascii(win[j:j]) + 1 THEN 1 ELSE 0 END))"
     entropy = []
     for kind, (letters, _, least) in CLASSES.items():
-        entropy.append(f"""SELECT r, rank, s + min(i) - 1 AS s, s + max(i) - 1 + {ENTROPY_WINDOW} AS e FROM (
-  SELECT r, rank, s, i FROM (SELECT r, rank, s, i, c, count(*) AS n FROM (
-    SELECT r, rank, s, i, unnest(string_split(substr(v, i, {ENTROPY_WINDOW}), '')) AS c FROM (
-      SELECT *, unnest(range(1, length(v) - {ENTROPY_WINDOW - 2})) AS i FROM ({_spans(kind, f"{letters}{{{ENTROPY_WINDOW},}}", allowed)}))) GROUP BY r, rank, s, i, c)
-  GROUP BY r, rank, s, i HAVING log2({ENTROPY_WINDOW}) - sum(n * log2(n)) / {ENTROPY_WINDOW} >= {least}) GROUP BY r, rank, s""")
+        entropy.append(f"""SELECT r, rank, s + low - 1 AS s, s + high - 1 + {ENTROPY_WINDOW} AS e FROM (SELECT r, rank, s, v, min(i) AS low, max(i) AS high FROM (
+  SELECT r, rank, s, v, i FROM (SELECT r, rank, s, v, i, win, c, count(*) AS n FROM (
+    SELECT r, rank, s, v, i, win, unnest(string_split(win, '')) AS c FROM (SELECT *, substr(v, i, {ENTROPY_WINDOW}) AS win FROM (
+      SELECT *, unnest(range(1, length(v) - {ENTROPY_WINDOW - 2})) AS i FROM ({_spans(kind, f"{letters}{{{ENTROPY_WINDOW},}}")})))) GROUP BY r, rank, s, v, i, win, c)
+  GROUP BY r, rank, s, v, i, win HAVING log2({ENTROPY_WINDOW}) - sum(n * log2(n)) / {ENTROPY_WINDOW} >= {least} AND {steps} < {NEXT_STEPS}) GROUP BY r, rank, s, v) WHERE {allowed}""")
     names = ", ".join(_quoted(k) for k in KINDS)
     joined = f"string_agg([{names}][rank + 1] || ':' || s || ':' || e, ',' ORDER BY s, rank, e)"
     count = lambda k: f"CAST(count(*) FILTER (rank = {k}) AS BIGINT)"
