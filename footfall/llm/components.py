@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.session import stage
+from footfall.session import drop_stage, stage
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -38,5 +38,6 @@ def components(links: DataFrame) -> DataFrame:
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = state
+        last, before = state, links
         links = stage(_small_star(_large_star(links)), "links")
+        drop_stage(before)

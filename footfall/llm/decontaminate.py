@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.text import SEPARATORS, ascii_lower, fenced_filter, split_words
+from footfall.llm.text import SEPARATORS, ascii_lower, fenced_filter, keeping_columns, split_words
 from footfall.operators.joins import BROADCAST_ROWS, lookup_join
 from footfall.session import stage
 
@@ -152,6 +152,7 @@ def digest(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int =
     )
 
 
+@keeping_columns("doc_id", "text")
 def remove_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, with all their columns."""
     return fenced_filter(with_hits(docs, items), F.col("__hits.n_hit") == 0).select(*docs.columns)

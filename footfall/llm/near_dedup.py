@@ -19,7 +19,7 @@ share 29 of the 91 tables on average.
 Defined results: null, empty and blank texts have an empty set and are linked with
 nothing; fewer than five words are one shingle; rows that share a doc_id are one
 document; a null doc_id is linked with nothing, has no component, and is kept;
-further columns are ignored, and kept by :func:`keep_first`.
+further columns, whatever their names, are ignored, and kept by :func:`keep_first`.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.components import components
-from footfall.operators.joins import BROADCAST_ROWS, lookup_join
-from footfall.session import stage
+from footfall.llm.text import keeping_columns
+from footfall.operators.joins import BROADCAST_ROWS, lookup_join, salted_join
+from footfall.session import drop_stage, stage
 
 SHINGLE = 5
 PERCENT = 75
@@ -127,7 +128,7 @@ def table_keys(nodes: DataFrame) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``hub, id`` whose full sets are similar enough.
+    """Links ``a, b``: the pairs ``hub, id`` (a written table) whose full sets are similar enough.
 
     Sets are made for the documents in question only. The hub's set comes first, so
     that a hub of many pairs meets narrow rows, and the sets then part by ``id``.
@@ -135,10 +136,14 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     asked = stage(pairs.select("hub").union(pairs.select("id")).distinct().withColumnRenamed("hub", "doc_id"), "asked")
     texts = lookup_join(docs.select(F.col("doc_id").cast("bigint"), "text"), asked, ["doc_id"], ["text"])
     sets = stage(texts.select("doc_id", "text").mapInArrow(_sets, "id bigint, shingles array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("other")), "hub").join(sets, "id")
+    of_hub = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("other"))
+    both = salted_join(pairs, of_hub, ["hub"], ["id"]).join(sets, "id")
     shared = F.size(F.array_intersect("shingles", "other"))
     close = 100 * shared >= percent * (F.size("shingles") + F.size("other") - shared)
-    return both.filter(close).select("hub", "id").distinct()
+    confirmed = stage(both.filter(close).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "confirmed")
+    drop_stage(asked)
+    drop_stage(sets)
+    return confirmed
 
 
 def _hub_pairs(members: DataFrame, salt: int, percent: int) -> DataFrame:
@@ -155,7 +160,10 @@ def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     named = members.select("key", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left")
     named = stage(named.withColumn("root", F.coalesce("root", "id")), "members")
     split = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    return stage(named.join(split, "key"), "split_buckets")
+    left = stage(named.join(split, "key"), "split_buckets")
+    drop_stage(named)
+    drop_stage(members)
+    return left
 
 
 def _small_pairs(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -187,11 +195,27 @@ def _prefix_pairs(ids: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     place = shared.withColumn("at", F.col("rank") + alone - 1)
     front = place.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
     front = stage(front.join(ids, "id").select("s", "id", "root", "n", "at"), "prefixes")
-    other = front.select("s", *[F.col(c).alias(f"hub_{c}") for c in ("id", "root", "n", "at")])
+    pairs = stage(_met(front, percent), "prefix_pairs")
+    drop_stage(flat)
+    drop_stage(front)
+    return pairs
+
+
+def _met(front: DataFrame, percent: int) -> DataFrame:
+    """``hub, id`` of different components that share a shingle ``s`` of their prefixes.
+
+    For each shingle the members of its largest component wait, and only those of the
+    others go through them and through each other: a large group of copies costs a pair
+    for each member and stranger, and nothing among its own members.
+    """
+    held = front.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("s")
+    largest = held.agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    marked = stage(front.join(largest.select("s", "top"), "s").withColumn("waits", F.col("root") == F.col("top.root")).drop("top"), "marked")
+    other = marked.filter("NOT waits").select("s", *[F.col(c).alias(f"hub_{c}") for c in ("id", "root", "n", "at")])
     left = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))
-    met = front.join(other, "s").filter((F.col("hub_id") < F.col("id")) & (F.col("root") != F.col("hub_root")))
-    met = met.filter((100 + percent) * left >= percent * (F.col("n") + F.col("hub_n")))
-    return met.select(F.col("hub_id").alias("hub"), "id").distinct()
+    met = salted_join(marked, other, ["s"], ["id"]).filter(F.col("root") != F.col("hub_root"))
+    met = met.filter((F.col("waits") | (F.col("hub_id") < F.col("id"))) & ((100 + percent) * left >= percent * (F.col("n") + F.col("hub_n"))))
+    return met.select(F.least("hub_id", "id").alias("hub"), F.greatest("hub_id", "id").alias("id")).distinct()
 
 
 def _settled(members: DataFrame, tried: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +229,7 @@ def _settled(members: DataFrame, tried: DataFrame, docs: DataFrame, percent: int
     # A pair may have been tried from either side.
     known = tried.union(tried.select("id", "hub"))
     pairs = stage(pairs.join(known, ["hub", "id"], "left_anti"), "left_pairs")
-    return stage(_confirm(pairs, docs, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "confirmed")
+    return _confirm(pairs, docs, percent)
 
 
 def find_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -221,14 +245,14 @@ def find_links(nodes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Dat
     members = stage(keys.join(shared, "key").withColumn("root", F.col("id")), "buckets")
     first = _hub_pairs(members, 0, percent).groupBy("id").agg(F.min("hub").alias("hub"))
     tried = stage(first.select("hub", "id"), "tried")
-    links = stage(_confirm(tried, docs, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "confirmed")
+    links = _confirm(tried, docs, percent)
     salt = 0
     while True:
         members = _with_roots(members, components(links))
         fresh = stage(_hub_pairs(members, salt, percent).join(tried, ["hub", "id"], "left_anti"), "fresh")
         if fresh.isEmpty():
             return links.unionByName(_settled(members, tried, docs, percent))
-        found = stage(_confirm(fresh, docs, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), "confirmed")
+        found = _confirm(fresh, docs, percent)
         # The second round takes the remaining smallest hubs, later ones hashed hubs.
         if salt > 0 and found.isEmpty():
             return links.unionByName(_settled(members, tried.unionByName(fresh), docs, percent))
@@ -257,6 +281,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return joined.withColumn("component_id", component).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+@keeping_columns("doc_id", "text")
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that represent their group, with all their columns."""
     gone = stage(near_groups(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.text import fenced_filter, left_lookup, split_words, tagged
+from footfall.llm.text import fenced_filter, keeping_columns, left_lookup, split_words, tagged
 from footfall.session import stage
 
 WINDOW = 5
@@ -134,6 +134,7 @@ def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("host_rate").isNull())
 
 
+@keeping_columns("doc_id", "text", "source")
 def keep_good(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,3 +129,21 @@ def fresh_names(df: DataFrame, names: list[str]) -> dict[str, str]:
             free += "_"
         out[name] = free
     return out
+
+
+def keeping_columns(*used: str):
+    """Decorator of functions that return rows of ``docs`` with all their columns.
+
+    Columns that the function does not use get names of their own while it runs, so none
+    can clash with its working columns.
+    """
+
+    def decorate(function):
+        @wraps(function)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            inside = [c.lower() if c.lower() in used else f"carried_{k}" for k, c in enumerate(docs.columns)]
+            return function(docs.toDF(*inside), *args, **options).toDF(*docs.columns)
+
+        return run
+
+    return decorate

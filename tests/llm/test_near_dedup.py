@@ -81,3 +81,29 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: r for x, r in root.items() if x != r}
+
+
+def test_strangers_meet_a_large_component_once(spark):
+    """5,000 near copies and two strangers behind one shingle: a pair for each copy and stranger, none between copies."""
+    rows = [(7, i, 0, 100, 0) for i in range(5000)] + [(7, 9000, 9000, 100, 0), (7, 9001, 9001, 100, 0)]
+    rows += [(8, i, 0, 100, 1) for i in range(5000)]  # a shingle of one component links nothing
+    front = spark.createDataFrame(rows, "s long, id long, root long, n int, at int")
+    pairs = near_dedup._met(front, 75)
+    assert pairs.count() == 2 * 5000 + 1
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    assert pairs.filter("hub >= id").isEmpty()
+
+
+def test_columns_of_any_name_are_kept(spark):
+    from footfall.llm import decontaminate, quality_rules, secret_scan
+
+    text = "eleven different words make a document that passes all of them"
+    names = ["__gone", "host_rate", "__doc", "__words", "__spans", "kept", "digest", "carried_1", "Root", "key"]
+    docs = spark.createDataFrame([(1, text, "s"), (2, text, "s")], "doc_id long, text string, source string")
+    docs = docs.select(*[F.lit(n).alias(n) for n in names], "*")
+    items = spark.createDataFrame([(1, "nothing of the kind stands in these two documents at all")], "item_id long, text string")
+    for kept in (near_dedup.keep_first(docs), quality_rules.keep_good(docs), decontaminate.remove_leaks(docs, items), secret_scan.mask(docs)):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[n] == n for r in rows for n in names)
