@@ -57,4 +57,4 @@ def test_stages_keep_the_columns(spark, odd, small):
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "secret_scan", "mixing"]
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and "pipeline" in contract.queries()
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} and "pipeline" in contract.queries()
