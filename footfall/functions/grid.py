@@ -1,4 +1,4 @@
-"""Two grids: the metric post grid, and a grid on the sphere for radius joins."""
+"""Two grids: the metric post grid, and a grid on the sphere for radius joins; and a space-filling curve."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Degrees per metre along a meridian, and along the parallel of Rome.
 DEGREE_PER_M_LAT = 8.992909382672273e-06
 DEGREE_PER_M_LON = 1.2080663828690774e-05
+# Bits of each axis in the position along the space-filling curve; a step is 19 mm.
+AXIS_BITS = 31
+_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
 def grid_steps(size_m: float = 200, ref_lat: float | None = None) -> tuple[float, float]:
@@ -101,3 +104,16 @@ def explode_sphere_cover(
     return cells.withColumn("col", F.pmod(F.col("_c"), F.col("_n"))).drop(
         "_wide", "_n", "_first", "_last", "_c"
     )
+
+
+def _bits_apart(value: Column) -> Column:
+    for shift, mask in _SPREAD:
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+    return value
+
+
+def curve_position(lon: Column, lat: Column) -> Column:
+    """Place on a Z-order curve: the leading bits of two positions tell the quadtree cells they share."""
+    step = 2.0**AXIS_BITS / 360.0
+    axis = lambda degrees: F.least(F.floor(degrees * step), F.lit(2**AXIS_BITS - 1)).cast("bigint")
+    return F.shiftleft(_bits_apart(axis(lat + 90.0)), 1).bitwiseOR(_bits_apart(axis(lon + 180.0)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,22 +232,22 @@ def _split_boxes(places: DataFrame, parents: DataFrame, hot_rows: int) -> DataFr
 
 
 def _local_roots(links: pd.DataFrame) -> pd.DataFrame:
-    """Smallest node of the component of each node, over one group of links."""
-    a = list(zip(links["a_row"], links["a_col"]))
-    b = list(zip(links["b_row"], links["b_col"]))
-    parent = {node: node for node in a + b}
-
-    def find(node: tuple) -> tuple:
-        while parent[node] != node:
-            parent[node] = parent[parent[node]]
-            node = parent[node]
-        return node
-
-    for x, y in zip(a, b):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    out = [(*node, *find(node)) for node in parent]
+    """Smallest node of the component of each node, over one group of links.
+
+    Nodes are numbered in order; every round hangs the larger root of a link below the
+    smaller one and then jumps from root to root.
+    """
+    ends = [links[[f"{side}_row", f"{side}_col"]].to_numpy() for side in "ab"]
+    nodes, code = np.unique(np.concatenate(ends), axis=0, return_inverse=True)
+    a, b = np.split(code.ravel(), 2)
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = root[a[apart]], root[b[apart]]
+    out = np.concatenate([nodes, nodes[root]], axis=1)
     roots = pd.DataFrame(out, columns=["row", "col", "root_row", "root_col"])
     roots.insert(0, "term", links["term"].iloc[0])
     return roots

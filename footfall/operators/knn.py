@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.geo import EARTH_RADIUS_KM, distance_m, m_to_degree
-from footfall.functions.grid import explode_sphere_cover, with_sphere_cell
+from footfall.functions.grid import curve_position, explode_sphere_cover, with_sphere_cell
 from footfall.operators.joins import BROADCAST_ROWS, HOT_ROWS, lookup_join, salted_join
 from footfall.operators.points import PLACE
 from footfall.session import stage
@@ -20,22 +20,6 @@ FIRST_SIDE_M = 4.0 / 4**4
 LEVELS = 12
 CROWDED = 24
 HALF_CIRCLE_M = math.pi * EARTH_RADIUS_KM * 1000.0
-# Bits of each axis in the position along the space-filling curve; a step is 19 mm.
-AXIS_BITS = 31
-_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
-
-
-def _bits_apart(value: Column) -> Column:
-    for shift, mask in _SPREAD:
-        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
-    return value
-
-
-def curve_position(lon: Column, lat: Column) -> Column:
-    """Place on a Z-order curve: the leading bits of two positions tell the quadtree cells they share."""
-    step = 2.0**AXIS_BITS / 360.0
-    axis = lambda degrees: F.least(F.floor(degrees * step), F.lit(2**AXIS_BITS - 1)).cast("bigint")
-    return F.shiftleft(_bits_apart(axis(lat + 90.0)), 1).bitwiseOR(_bits_apart(axis(lon + 180.0)))
 
 
 def _with_side(locations: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ n`` and return ``term, eps`` in metres.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,17 +41,73 @@ def eps_percentile(curve: DataFrame, share: float) -> DataFrame:
     return points.filter(here).select("term", F.col("dist").alias("eps"))
 
 
-def _lower_hull(x: np.ndarray, y: np.ndarray) -> list[int]:
+def _first_true(low: np.ndarray, high: np.ndarray, test) -> np.ndarray:
+    """First position of each range ``low .. high - 1`` where ``test(rows, positions)``
+    holds, else ``high``; along a range the test may only turn from false to true."""
+    low, high = low.copy(), high.copy()
+    rows = np.flatnonzero(low < high)
+    while len(rows):
+        middle = (low[rows] + high[rows]) // 2
+        holds = test(rows, middle)
+        high[rows[holds]] = middle[holds]
+        low[rows[~holds]] = middle[~holds] + 1
+        rows = rows[low[rows] < high[rows]]
+    return low
+
+
+class _HullLevels:
+    """Lower hulls of neighbouring groups of points with ascending x, doubled from level to level.
+
+    ``vertex`` lists the hull vertices of all groups in order, ``first`` where each group
+    begins. A level of groups of ``size`` points lets every point of an even group ask the
+    hull of the group after it; over all levels each pair of points meets exactly once.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y, self.size = x, y, 1
+        self.vertex, self.first = np.arange(len(x)), np.arange(len(x) + 1)
+
+    def _slope(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.y[b] - self.y[a]) / (self.x[b] - self.x[a])
+
+    def deepest(self, group: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        """Position in ``vertex`` of the vertex of each group that lies deepest below a line of that slope."""
+        steep = lambda rows, at: self._slope(self.vertex[at], self.vertex[at + 1]) >= slope[rows]
+        return _first_true(self.first[group], self.first[group + 1] - 1, steep)
+
+    def double(self) -> None:
+        """Join the hulls of each even group and its successor by their common tangent."""
+        groups = len(self.first) - 1
+        pairs = np.arange(0, groups - 1, 2)
+        low, high = self.first[pairs + 1], self.first[pairs + 2] - 1
+
+        def touch(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Where the tangent from a vertex on the left touches the right hull: its edges get steeper there."""
+            start = self.vertex[at]
+            steeper = lambda r, b: self._slope(self.vertex[b], self.vertex[b + 1]) >= self._slope(start[r], self.vertex[b])
+            return _first_true(low[rows], high[rows], steeper)
+
+        def below(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+            tangent = self._slope(self.vertex[at], self.vertex[touch(rows, at)])
+            return tangent <= self._slope(self.vertex[at], self.vertex[at + 1])
+
+        ends = _first_true(self.first[pairs], self.first[pairs + 1] - 1, below)
+        keep_to, keep_from = self.first[1:].copy(), self.first[:-1].copy()
+        keep_to[pairs], keep_from[pairs + 1] = ends + 1, touch(np.arange(len(pairs)), ends)
+        of = np.repeat(np.arange(groups), np.diff(self.first))
+        place = np.arange(len(self.vertex))
+        kept = (place < keep_to[of]) & (place >= keep_from[of])
+        self.vertex = self.vertex[kept]
+        sizes = np.bincount(of[kept] // 2, minlength=(groups + 1) // 2)
+        self.first, self.size = np.append(0, np.cumsum(sizes)), 2 * self.size
+
+
+def _lower_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Indices of the lower convex hull of points with ascending x."""
-    hull: list[int] = []
-    for i in range(len(x)):
-        while len(hull) > 1:
-            a, b = hull[-2], hull[-1]
-            if (y[b] - y[a]) * (x[i] - x[b]) < (y[i] - y[b]) * (x[b] - x[a]):
-                break
-            hull.pop()
-        hull.append(i)
-    return hull
+    levels = _HullLevels(x, y)
+    while levels.size < len(x):
+        levels.double()
+    return levels.vertex
 
 
 def _block_hull(rows: pd.DataFrame) -> pd.DataFrame:
@@ -85,53 +139,50 @@ def _later_vertices(points: DataFrame, hulls: DataFrame) -> DataFrame:
     return pairs.select("term", F.col("for_block").alias("block"), "start", "dist")
 
 
+def _dips(x: np.ndarray, y: np.ndarray, last: int, y_last: float, run: np.ndarray, at: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether some point after point ``run`` lies more than ``threshold`` below the chord
+    from position ``at``, at the height of point ``run``, to the end of the curve."""
+    height = y[run] - y_last
+    found = np.zeros(len(run), bool)
+    levels = _HullLevels(x, y)
+    while levels.size < len(x):
+        group = run // levels.size
+        rows = np.flatnonzero((group % 2 == 0) & (group + 1 < len(levels.first) - 1) & (height > 0) & ~found)
+        group = group[rows] + 1
+        deepest = levels.deepest(group, -height[rows] / (last - at[rows]))
+        for near in (-1, 0, 1):  # the neighbours too, as slopes are rounded
+            j = levels.vertex[np.clip(deepest + near, levels.first[group], levels.first[group + 1] - 1)]
+            found[rows] |= (y[j] - y_last) / height[rows] < 1 - threshold - (x[j] - at[rows]) / (last - at[rows])
+        levels.double()
+    return found
+
+
 def _far_flags(rows: pd.DataFrame, later: pd.DataFrame | None, threshold: float) -> pd.DataFrame:
     """Whether some later point of the curve lies more than ``threshold`` below the
     chord from point i to the end, for the first point of each run of equal values
     and for the coarse positions.
 
-    With the chord from i fixed, the deepest later point is a vertex of the lower
-    hull of the points after i. The hull grows from right to left.
+    With the chord from i fixed, the deepest of some later points is a vertex of their
+    lower hull; all rows ask the hulls of each level at once.
     """
     rows = rows.sort_values("start")
     last = int(rows["total"].iloc[0]) - 1
     y_last = float(rows["y_last"].iloc[0])
     step = max(1, (last - 1) // min(COARSE_STEPS, last + 1))
-    xs, ys, slopes = [], [], []  # hull from right to left; slopes between neighbours fall
-
-    def push(x: float, y: float) -> None:
-        while len(xs) > 1 and (ys[-1] - y) / (xs[-1] - x) >= (ys[-2] - ys[-1]) / (xs[-2] - xs[-1]):
-            xs.pop(), ys.pop(), slopes.pop()
-        if xs:
-            slopes.append((ys[-1] - y) / (xs[-1] - x))
-        xs.append(x), ys.append(y)
-
-    def far(i: int, y: float) -> bool:
-        if not xs or y == y_last:
-            return False
-        slope = -(y - y_last) / (last - i)
-        at = bisect_left(slopes, -slope, key=lambda s: -s)
-        for j in range(max(0, at - 1), min(len(xs), at + 2)):
-            if (ys[j] - y_last) / (y - y_last) < 1 - threshold - (xs[j] - i) / (last - i):
-                return True
-        return False
-
-    if later is not None:
-        for x, y in later.sort_values("start", ascending=False)[["start", "dist"]].itertuples(index=False):
-            push(float(x), float(y))
-    out = []
-    columns = (rows["start"].to_numpy()[::-1], rows["n"].to_numpy()[::-1], rows["dist"].to_numpy()[::-1])
-    for start, n, y in zip(*(c.tolist() for c in columns)):
-        end = min(start + n - 1, last - 2)
-        if start <= last - 2:
-            out.append((start, y, far(start, y), False))
-        coarse = list(range(-(-start // step) * step, end + 1, step))
-        if start <= last - 2 <= start + n - 1 and (not coarse or coarse[-1] != last - 2):
-            coarse.append(last - 2)
-        out += [(i, y, far(i, y), True) for i in coarse]
-        if start < last:
-            push(float(start), float(y))
-    flags = pd.DataFrame(out, columns=["i", "dist", "far", "coarse"])
+    start, n, dist = (rows[c].to_numpy() for c in ("start", "n", "dist"))
+    asked = np.flatnonzero(start <= last - 2)
+    coarse = np.arange(-(-start[0] // step) * step, min(start[-1] + n[-1] - 1, last - 2) + 1, step)
+    if start[0] <= last - 2 <= start[-1] + n[-1] - 1:
+        coarse = np.union1d(coarse, [last - 2])
+    run = np.append(asked, np.searchsorted(start, coarse, "right") - 1)
+    at = np.append(start[asked], coarse)
+    inside = start < last
+    x, y = start[inside].astype(float), dist[inside].astype(float)
+    if later is not None and len(later):
+        later = later.sort_values("start")
+        x, y = np.append(x, later["start"].to_numpy(float)), np.append(y, later["dist"].to_numpy(float))
+    far = _dips(x, y, last, y_last, run, at, threshold)
+    flags = pd.DataFrame({"i": at, "dist": dist[run], "far": far, "coarse": np.arange(len(run)) >= len(asked)})
     flags.insert(0, "term", rows["term"].iloc[0])
     return flags
 

@@ -566,6 +566,14 @@ def bbox_filter(spark, sf_dir):
     return spatial.bbox_filter(derived.posts(spark, sf_dir), 41.88, 12.46, 41.9, 12.48).select("post_id")
 
 
+@query
+def bbox_filter_stored(spark, sf_dir):
+    """The same box over stored posts, whose layout lets the scan pass over the rest."""
+    path = f"{stage_path(spark, 'files')}/posts.parquet"
+    sources.write_posts_parquet(derived.derive_posts(spark, sf_dir), path)
+    return _post_rows(spatial.bbox_filter(sources.read_posts_parquet(spark, path), 41.88, 12.46, 41.9, 12.48))
+
+
 @query
 def roi_area(spark, sf_dir):
     boxes = _place_boxes(spark, sf_dir)

@@ -437,6 +437,7 @@ AND (f.lon_hi <= (b.lon_lo + b.lon_hi) / 2 OR f.lat_hi <= (b.lat_lo + b.lat_hi)
     ),
     "bbox_filter": """SELECT post_id FROM posts WHERE latitude BETWEEN 41.88e0 AND 41.9e0
   AND longitude BETWEEN 12.46e0 AND 12.48e0""",
+    "bbox_filter_stored": POST_ROWS + "posts WHERE latitude BETWEEN 41.88e0 AND 41.9e0 AND longitude BETWEEN 12.46e0 AND 12.48e0",
     "roi_area": f"""SELECT poi, round((lon_hi - lon_lo) * (lat_hi - lat_lo) * {KM2_PER_SQUARE_DEGREE}e0
   * (sin(radians(lat_hi)) - sin(radians(lat_lo))) / (radians(lat_hi) - radians(lat_lo)), 6) AS area_km2,
   round((lon_hi - lon_lo) * (lat_hi - lat_lo) * {KM2_PER_SQUARE_DEGREE}e0, 6) AS planar_km2 FROM boxes""",

@@ -42,7 +42,7 @@ def test_query_matches_sql(name, spark, tables, other_engine):
     _compare(name, spark, tables, other_engine)
 
 
-@pytest.mark.parametrize("name", ["convex_hull_vertices", "dbscan", "extract_rois_vertices", "roi_quality_extracted"])
+@pytest.mark.parametrize("name", ["bbox_filter_stored", "convex_hull_vertices", "dbscan", "eps_threshold", "eps_threshold_coarse", "extract_rois_vertices", "roi_quality_extracted"])
 def test_rings_and_clusters_match_sql_at_the_next_scale(name, spark):
     folder = "/root/testdata/sf0.01"
     _compare(name, spark, folder, _views(folder))

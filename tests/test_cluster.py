@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,26 @@ def test_boxes_are_split_until_their_pairs_are_few(spark):
     near = distances(lat, lon) <= 60.0
     assert [got[x, y] for x, y in zip(lon, lat)] == (near.sum(axis=1) - 1).tolist()
     assert 0 < near.sum() < near.size
+
+
+def test_local_roots_of_chains_and_stars():
+    rng = np.random.default_rng(3)
+    for links in (40, 400):
+        ends = rng.integers(-9, 9 + links // 8, (links, 4))
+        chain = np.array([(i, 0, i + 1, 0) for i in range(1000, 1400)])
+        frame = pd.DataFrame(np.concatenate([ends, chain[rng.permutation(400)]]), columns=["a_row", "a_col", "b_row", "b_col"])
+        frame.insert(0, "term", "t")
+        near = {}
+        for a, b, c, d in frame.iloc[:, 1:].itertuples(index=False):
+            near.setdefault((a, b), set()).add((c, d))
+            near.setdefault((c, d), set()).add((a, b))
+        want = {}
+        for node in sorted(near):
+            reach = [] if node in want else [node]
+            while reach:
+                at = reach.pop()
+                if at not in want:
+                    want[at] = node
+                    reach += near[at]
+        got = cluster._local_roots(frame)
+        assert {(r.row, r.col): (r.root_row, r.root_col) for r in got.itertuples()} == want and len(got) == len(want)

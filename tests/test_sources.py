@@ -137,3 +137,43 @@ def test_box_reaches_the_scan_of_stored_posts(spark, tables, tmp_path):
     assert inside.count() == spatial.bbox_filter(derived.posts(spark, tables), 41.88, 12.46, 41.9, 12.48).count()
     nan = posts.valid_posts(spark.createDataFrame([(float("nan"), 5.0, ["a"]), (91.0, 5.0, ["a"]), (5.0, 5.0, ["a"])], "latitude double, longitude double, tags array<string>"))
     assert nan.count() == 1
+
+
+def test_box_skips_row_groups_of_clustered_posts(spark, tmp_path):
+    """A small box opens few row groups of clustered posts and nearly all of unordered ones."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from footfall.operators import spatial
+
+    spread = lambda seed: F.lit(10.0) + F.abs(F.hash("id", F.lit(seed))) % 10_000 / 1000.0
+    rows = spark.range(40_000).select(
+        F.col("id").alias("post_id"), spread(1).alias("latitude"), spread(2).alias("longitude"), F.lit(1.0).alias("accuracy"),
+        F.concat(F.lit("u"), "id").alias("username"), F.lit("Jan 3, 2017 4:05:06 PM").alias("date_posted"), F.array(F.lit("t")).alias("tags"),
+    )
+    # A third of the posts on one spot, which several files share.
+    on_spot = F.col("post_id") % 3 == 0
+    rows = rows.withColumns({c: F.when(on_spot, F.lit(15.5)).otherwise(F.col(c)) for c in ("latitude", "longitude")})
+    box, opened, spot_files, kept = (12.0, 13.0, 12.5, 13.5), {}, {}, {}
+    for clustered in (True, False):
+        path = tmp_path / f"posts{clustered}.parquet"
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files, as for large input
+        posts.write_posts_parquet(rows, str(path), clustered=clustered, row_group_bytes=20_000)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        groups, spot = [], set()
+        for file in path.glob("*.parquet"):
+            meta = pq.ParquetFile(file).metadata
+            for g in range(meta.num_row_groups):
+                lat, lon = (meta.row_group(g).column(i).statistics for i in (0, 1))
+                groups.append(lat.max >= box[0] and lat.min <= box[2] and lon.max >= box[1] and lon.min <= box[3])
+                if lat.min <= 15.5 <= lat.max:
+                    spot.add(file)
+        opened[clustered], spot_files[clustered] = sum(groups) / len(groups), len(spot)
+        inside = spatial.bbox_filter(posts.read_posts_parquet(spark, str(path)), *box).select("username", "latitude", "longitude")
+        kept[clustered] = sorted(inside.collect())
+        scan = inside._jdf.queryExecution()
+        scan.executedPlan().executeCollect()
+        read = scan.executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+        assert not clustered or read < 4_000
+    assert kept[True] == kept[False] and 0 < len(kept[True]) < 400
+    assert opened[True] < 0.2 and opened[False] > 0.9 and spot_files[True] > 1
