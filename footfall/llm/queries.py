@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,8 +55,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with surrogates for its personal data."""
-    return surrogates.digest(table(spark, sf_dir, "documents"))
+    """Every document with surrogates for its personal data.
+
+    The key is taken from the session; a session without one gets a fresh key for this run.
+    """
+    key = spark.conf.get("spark.footfall.surrogates.key", None) or secrets.token_hex(32)
+    return surrogates.digest(table(spark, sf_dir, "documents"), key)
 
 
 @query

@@ -11,6 +11,11 @@ share, or that is itself an entity, is given up by all but the first, and they t
 with another hash. Only those few attempts are joined back to the documents; all other
 surrogates are computed in place. Only DataFrame functions are used.
 
+Names are found behind a listed given name, or behind a title or phrase of ``TITLES``; a
+family name alone gets one. Card numbers are four groups of four digits, or 13 to 19 digits
+whose check digit holds. The key is the caller's secret: whoever knows it can repeat the
+surrogates of guessed entities, so there is no default.
+
 Defined results: null texts stay null and clean texts stay as they are; repeated rows get
 equal results, and so do mentions in rows without an id; further columns are kept.
 """
@@ -23,22 +28,34 @@ from pyspark.sql import functions as F
 from footfall.operators.joins import BROADCAST_ROWS, lookup_join
 from footfall.session import stage
 
-KEY = "change me"
 # Given names by gender and script, and family names by script and gender.
 GIVEN = {
     "female_latin": "Alice Barbara Carol Diana Emily Fiona Grace Hannah Irene Julia Karen Laura Martha Nancy Olivia Paula Rachel Sarah Teresa Victoria",
     "male_latin": "Albert Brian Charles Daniel Edward Frank George Henry Isaac James Kevin Lewis Michael Norman Oliver Peter Robert Samuel Thomas William",
     "female_cyrillic": "Анна Вера Дарья Елена Ирина Мария Наталья Ольга Светлана Татьяна",
     "male_cyrillic": "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей",
+    "any_latin": "Alex Casey Jamie Jordan Morgan Quincy Robin Terry",
 }
 FAMILY = {
     "female_latin": "Adams Baker Carter Davis Evans Foster Green Harris Jackson Kelly Lawson Miller Nelson Parker Quinn Roberts Stewart Taylor Walker Young",
     "male_latin": "Adams Baker Carter Davis Evans Foster Green Harris Jackson Kelly Lawson Miller Nelson Parker Quinn Roberts Stewart Taylor Walker Young",
     "female_cyrillic": "Белова Волкова Голубева Зайцева Козлова Морозова Новикова Орлова Павлова Смирнова",
     "male_cyrillic": "Белов Волков Голубев Зайцев Козлов Морозов Новиков Орлов Павлов Смирнов",
+    "any_latin": "Adams Baker Carter Davis Evans Foster Green Harris Jackson Kelly Lawson Miller Nelson Parker Quinn Roberts Stewart Taylor Walker Young",
+}
+# Titles and phrases in front of a name, with the gender that they carry. A name behind one needs no list.
+TITLES = {
+    "female_latin": "Mrs|Ms|Miss|Madam|Mme|Lady",
+    "male_latin": "Mr|Mister|Sir|Lord",
+    "female_cyrillic": "[Гг]оспожа|[Гг]-жа",
+    "male_cyrillic": "[Гг]осподин|[Гг]-н",
+    "any_latin": "Dr|Doctor|Prof|Professor|[Nn]ame is|[Ss]igned by",
 }
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NAMES = {group: "|".join(names.split()) for group, names in GIVEN.items()}
+_TITLES = {group: f"(?:{titles})\\.?\\x20+" for group, titles in TITLES.items()}
+_TITLE = "|".join(_TITLES.values())
+_WORD = "\\p{Lu}\\p{Ll}+(?:-\\p{Lu}\\p{Ll}+)*"
 PATTERNS = {
     "email": "(?<![\\p{L}0-9._%+-])[\\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}(?![A-Za-z])",
     "ip": f"(?<![0-9A-Za-z.])(?:{_OCTET}\\.){{3}}{_OCTET}(?![0-9A-Za-z]|\\.[0-9])",
@@ -46,12 +63,14 @@ PATTERNS = {
     "ssn": "(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": "(?<![0-9A-Za-z+])(?:\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{2,4}\\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
     "iban": "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    **{f"name_{group}": f"(?<!\\p{{L}})(?:{names})\\x20+\\p{{Lu}}\\p{{Ll}}+(?:-\\p{{Lu}}\\p{{Ll}}+)*(?!\\p{{L}})" for group, names in _NAMES.items()},
+    **{f"name_{group}": f"(?<!\\p{{L}})(?:(?:{_TITLES[group]})(?:{_WORD}\\x20+)?|(?:{names})\\x20+){_WORD}(?!\\p{{L}})" for group, names in _NAMES.items()},
 }
 KINDS = tuple(PATTERNS)
-ANY = "|".join(PATTERNS.values())
-# A text with no digit, no @ and no given name in front of a capital holds no mention.
-NAMED = f"(?=[A-Z\\u0410-\\u042F])(?<!\\p{{L}})(?:{'|'.join(_NAMES.values())})\\x20+\\p{{Lu}}"
+# Other lengths of card numbers count only if their check digit holds.
+LONG_CARD = "(?<![0-9A-Za-z])(?:[0-9]{13,19}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
+ANY = "|".join([*PATTERNS.values(), LONG_CARD])
+# A text with no digit, no @ and no given name or title in front of a capital holds no mention.
+NAMED = f"(?=[A-Zns\\u0410-\\u042F\\u0433])(?<!\\p{{L}})(?:(?:{'|'.join(_NAMES.values())})\\x20+|{_TITLE})\\p{{Lu}}"
 # Letters that stand in for letters, by script and case.
 ALPHABETS = {
     "[0-9]": "0123456789",
@@ -72,22 +91,23 @@ def mentions(text: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The first kind whose pattern covers the whole mention."""
+    """The first kind whose pattern covers the whole mention; null for a number that is no card."""
     out = F.lit(None).cast("string")
     for kind in reversed(KINDS):
         out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
-    return out
+    checked = luhn(F.regexp_replace(value, "[^0-9]", "")) == 0
+    return F.coalesce(out, F.when(value.rlike(f"^(?:{LONG_CARD})$") & checked, F.lit("card")))
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """One form for all spellings: no separators, emails in lower case, single spaces in names."""
+    """One form for all spellings: no separators, emails in lower case, names without title and with single spaces."""
     phone = F.regexp_replace(F.regexp_replace(value, "^\\+([0-9]{1,3})(?=[^0-9])", "$1|"), "[^0-9|]", "")
     plain = F.regexp_replace(value, "[ -]", "")
     return (
         F.when(kind == "email", F.lower(value))
         .when(kind == "phone", phone)
         .when(kind == "ip", value)
-        .when(kind.startswith("name"), F.regexp_replace(value, " +", " "))
+        .when(kind.startswith("name"), F.regexp_replace(F.regexp_replace(value, f"^(?:{_TITLE})", ""), " +", " "))
         .otherwise(plain)
     )
 
@@ -129,7 +149,7 @@ def luhn(digits: Column) -> Column:
     letters, size = F.split(digits, ""), F.length(digits)
 
     def worth(c: Column, i: Column) -> Column:
-        n = c.cast("int")
+        n = c.try_cast("int")
         return F.when((size - i) % 2 == 0, F.when(n > 4, 2 * n - 9).otherwise(2 * n)).otherwise(n)
 
     return F.aggregate(F.transform(letters, worth), F.lit(0), lambda a, x: a + x) % 10
@@ -142,14 +162,16 @@ def _card(text: Column, seed: Column) -> Column:
     return F.concat(head, last.cast("string"))
 
 
-def _name(kind: Column, seed: Column, attempt: Column) -> Column:
-    """Given and family name of the same group; every third attempt adds a family name."""
+def _name(kind: Column, form: Column, seed: Column, attempt: Column) -> Column:
+    """Given and family name of the same group, or a family name alone for one word; every
+    third attempt adds a family name."""
     out = F.lit(None).cast("string")
     for group in GIVEN:
         given = F.array(*map(F.lit, GIVEN[group].split()))
         family = F.array(*map(F.lit, FAMILY[group].split()))
         families = F.transform(F.sequence(F.lit(0), F.floor(attempt / 3).cast("int")), _member(family, seed))
-        whole = F.concat_ws(" ", F.get(given, F.pmod(_hash(seed, F.lit("g")), F.size(given)).cast("int")), F.array_join(families, "-"))
+        first = F.when(form.contains(" "), F.get(given, F.pmod(_hash(seed, F.lit("g")), F.size(given)).cast("int")))
+        whole = F.concat_ws(" ", first, F.array_join(families, "-"))
         out = F.when(kind == f"name_{group}", whole).otherwise(out)
     return out
 
@@ -170,31 +192,39 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
         .when(kind == "ip", _octets(form, seed))
         .when(kind == "card", _card(form, seed))
         .when(kind == "iban", F.concat(F.substring(form, 1, 2), _other_letters(F.substring(form, F.lit(3), F.length(form)), seed)))
-        .when(kind.startswith("name"), _name(kind, seed, attempt))
+        .when(kind.startswith("name"), _name(kind, form, seed, attempt))
         .otherwise(_other_letters(form, seed))
     )
 
 
 def dress(kind: Column, value: Column, plain: Column) -> Column:
-    """A canonical surrogate in the spelling of the mention: its separators and its capitals."""
+    """A canonical surrogate in the spelling of the mention: its title, its separators and its capitals.
+
+    Letters are taken in order; a mention of no kind stays.
+    """
     fresh = F.split(F.regexp_replace(plain, "[^\\p{L}\\p{N}]", ""), "")
-    old = F.split(value, "")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def letter(c: Column, i: Column) -> Column:
-        at = F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^\\p{L}\\p{N}]", "")) - 1
-        new = F.get(fresh, at)
-        return F.when(c.rlike("[\\p{L}\\p{N}]"), F.when(c.rlike("\\p{Lu}"), F.upper(new)).otherwise(new)).otherwise(c)
+    def letter(done: Column, c: Column) -> Column:
+        new = F.get(fresh, done["at"])
+        swapped = F.when(c.rlike("\\p{Lu}"), F.upper(new)).otherwise(new)
+        is_letter = c.rlike("[\\p{L}\\p{N}]")
+        out = F.concat(done["out"], F.when(is_letter, swapped).otherwise(c))
+        return F.struct((done["at"] + is_letter.cast("int")).alias("at"), out.alias("out"))
 
-    return F.when(kind.startswith("name"), plain).otherwise(F.array_join(F.transform(old, letter), ""))
+    spelled = F.aggregate(F.split(value, ""), start, letter, lambda done: done["out"])
+    titled = F.concat(F.regexp_extract(value, f"^(?:{_TITLE})", 0), plain)
+    return F.when(kind.isNull(), value).when(kind.startswith("name"), titled).otherwise(spelled)
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct entities of all documents: ``kind, form``."""
     found = docs.select(F.explode(mentions(F.col("text"))).alias("value")).select(kind_of(F.col("value")).alias("kind"), "value")
+    found = found.filter(F.col("kind").isNotNull())
     return found.select("kind", canonical(F.col("kind"), F.col("value")).alias("form")).distinct()
 
 
-def settle_collisions(found: DataFrame, key: str = KEY) -> DataFrame:
+def settle_collisions(found: DataFrame, key: str) -> DataFrame:
     """Entities that need another attempt than the first: ``kind, form, attempt``.
 
     Each round checks the open entities' surrogates against each other, against those
@@ -220,7 +250,7 @@ def settle_collisions(found: DataFrame, key: str = KEY) -> DataFrame:
         open_, attempt = lost, attempt + 1
 
 
-def replace(docs: DataFrame, key: str = KEY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def replace(docs: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``__kinds``, the kinds of the mentions replaced."""
     text, found = F.col("text"), stage(entities(docs), "entities")
     again = stage(settle_collisions(found, key), "attempts")
@@ -233,7 +263,7 @@ def replace(docs: DataFrame, key: str = KEY, broadcast_rows: int = BROADCAST_ROW
         # The attempts that a document's mentions need, gathered by doc_id.
         uses = docs.select(F.col("doc_id").alias("__doc"), F.explode(mentions(text)).alias("value"))
         uses = uses.select("__doc", kind_of(F.col("value")).alias("kind"), "value")
-        uses = uses.select("__doc", "kind", canonical(F.col("kind"), F.col("value")).alias("form")).distinct()
+        uses = uses.filter(F.col("kind").isNotNull()).select("__doc", "kind", canonical(F.col("kind"), F.col("value")).alias("form")).distinct()
         met = lookup_join(uses, again, ["kind", "form"], ["__doc"], small_rows=n_again)
         entry = F.struct(F.concat_ws("|", "kind", "form"), "attempt")
         per_doc = stage(met.groupBy("__doc").agg(F.map_from_entries(F.collect_set(entry)).alias("__tries")), "tries")
@@ -249,11 +279,11 @@ def replace(docs: DataFrame, key: str = KEY, broadcast_rows: int = BROADCAST_ROW
     gaps = F.split(text, ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(gaps, F.col("__fresh"), lambda g, f: F.array(g, F.coalesce(f, F.lit(""))))), "")
     out = df.withColumn("text", F.when(F.size("__found") > 0, joined).otherwise(text))
-    kinds = F.coalesce(F.transform("__found", lambda v: v["kind"]), F.array().cast("array<string>"))
+    kinds = F.coalesce(F.filter(F.transform("__found", lambda v: v["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
     return out.withColumn("__kinds", kinds).select(*docs.columns, "__kinds")
 
 
-def digest(docs: DataFrame, key: str = KEY) -> DataFrame:
+def digest(docs: DataFrame, key: str) -> DataFrame:
     """``doc_id, text, n_entities`` and the number of mentions of each kind."""
     done = replace(docs.select("doc_id", "text"), key)
     groups = ("email", "ip", "card", "ssn", "phone", "iban", "name")
