@@ -35,6 +35,7 @@ RUN_ROWS = 2000
 TICKETS = 65_536
 # Rounds of the swap-or-not shuffle (Hoang, Morris and Rogaway, 2012).
 ROUNDS = 24
+KEY = ("__key", "__more")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -59,11 +60,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return levels.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def pack(docs: DataFrame) -> DataFrame:
+def pack(docs: DataFrame, *ties: str) -> DataFrame:
     """Place each document in its source's word stream: adds ``size``, ``source_size`` and ``start``.
 
-    ``docs`` holds ``doc_id, source, size``. The order within a source is a hash, so it
-    does not depend on partitions. Starts come in two levels: sizes are summed over
+    ``docs`` holds ``doc_id, source, size`` and ``ties``, columns that order rows with equal
+    ones. The order within a source is a hash, so it does not depend on partitions. Starts come in two levels: sizes are summed over
     runs of about ``RUN_ROWS`` rows, the runs are summed up per source, and a window
     covers one run only.
     """
@@ -77,7 +78,7 @@ def pack(docs: DataFrame) -> DataFrame:
     totals = dealt.groupBy("source", "run").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("__source"), F.col("run").alias("__run"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "run").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "run").orderBy("order", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = local.join(offsets, local["source"].eqNullSafe(F.col("__source")) & (F.col("run") == F.col("__run")))
     return placed.withColumn("start", F.col("offset") + F.col("local")).drop("__source", "__run", "offset", "local", "order", "run", "runs")
@@ -182,18 +183,28 @@ def usage(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, text`` with two hashes that name a row; repeated rows share them."""
+    cells = [c for name in ("doc_id", "source", "text") for c in (F.col(name), F.col(name).isNull())]
+    return docs.select("doc_id", "source", "text", *[F.xxhash64(F.lit(SEED + n), *cells).alias(key) for n, key in enumerate(KEY)])
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed data: ``shard, slot, source, block, epoch, doc_id, from, words, text``.
 
     One row per slot and document in its block; ``text`` is that part of the document,
-    its words separated by single spaces. Texts are shuffled twice, to their run and to
-    their block, and never written in between.
+    its words separated by single spaces. Blocks are packed and drawn without the texts,
+    which are shuffled once, to the parts that are cut out of them.
     """
-    sized = stage(_sized(docs), "sizes")
+    keyed = _keyed(docs)
+    sized = stage(_sized(keyed, *KEY), "sizes")
     _, slots = _targets_and_slots(sized)
-    placed = pack(_sized(docs, "text")).withColumn("__words", split_words(F.col("text")))
-    spans = _spans(placed, "__words")
-    part = F.array_join(F.slice("__words", (F.col("from") + 1).cast("int"), F.col("words").cast("int")), " ")
-    parts = spans.select("doc_id", F.col("source").alias("__source"), F.col("block").alias("__block"), "from", "words", part.alias("text"))
-    same = slots["source"].eqNullSafe(F.col("__source")) & (slots["block"] == F.col("__block"))
-    return slots.join(parts, same).drop("__source", "__block")
+    spans = _spans(pack(sized, *KEY), *KEY)
+    parts = spans.select("doc_id", F.col("source").alias("__source"), F.col("block").alias("__block"), "from", "words", *KEY)
+    cuts = slots.join(parts, slots["source"].eqNullSafe(F.col("__source")) & (slots["block"] == F.col("__block"))).drop("__source", "__block")
+    # Of repeated rows one text is enough.
+    repeats = Window.partitionBy(*KEY).orderBy("doc_id")
+    texts = keyed.select("doc_id", "text", *KEY).withColumn("earlier", F.lag(F.lit(1)).over(repeats)).filter("earlier IS NULL")
+    texts = texts.select(*KEY, split_words(F.col("text")).alias("__words"))
+    text = F.array_join(F.slice("__words", (F.col("from") + 1).cast("int"), F.col("words").cast("int")), " ")
+    return texts.join(cuts, list(KEY)).select(*[c for c in cuts.columns if c not in KEY], text.alias("text"))

@@ -58,6 +58,35 @@ def test_mix_agrees_with_usage(spark, small):
     assert {d: t for d, _, _, _, t in _usage(docs) if t} == dict(used)
 
 
+def test_mix_shuffles_texts_once(spark, small):
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        mixed = mixing.mix(spark.read.parquet(f"{small}/documents.parquet"))
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+    # The join that the texts meet last takes them as the first shuffle left them.
+    above = plan[: plan.index("Exchange")]
+    assert "array_join" in above and "split" in above and "FileScan" not in above
+
+
+def test_mix_of_repeated_rows(spark):
+    rows = [(None, None, "x y " * 40), (None, None, "x y " * 40), (1, "a", "b c " * 40), (1, "a", "d e " * 40), (1, "a", "b c " * 40), (2, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    used, parts = Counter(), defaultdict(set)
+    for r in mixing.mix(docs).collect():
+        assert len(r.text.split()) == r.words
+        used[r.doc_id] += r.words
+        parts[r.doc_id].update(r.text.split())
+    assert parts == {None: {"x", "y"}, 1: {"b", "c", "d", "e"}}
+    taken = Counter()
+    for doc, _, _, _, n in _usage(docs):
+        taken[doc] += n
+    assert dict(used) == {d: n for d, n in taken.items() if n}
+
+
 def test_shards_draw_sources_in_proportion(spark):
     sources = spark.createDataFrame([("a", 10**6, 3e5), ("b", 10**6, 7e5)], "source string, source_size long, target double")
     counts = defaultdict(Counter)
