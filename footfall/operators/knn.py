@@ -66,7 +66,9 @@ def knn_distance(
     totals = stage(locations.groupBy("term").agg(F.sum("w").alias("total")), "totals")
     terms = totals.count()
     placed = lookup_join(_with_side(locations), totals, ["term"], ["lon", "lat"], terms, broadcast_rows, hot_rows)
-    open_points = stage(placed.filter(F.col("total") - F.col("w") >= k).drop("total"), "open")
+    # A number sorts and shuffles the pairs of a place more cheaply than its keyword and coordinates.
+    numbered = placed.filter(F.col("total") - F.col("w") >= k).drop("total").withColumn("id", F.monotonically_increasing_id())
+    open_points = stage(numbered, "open")
     open_rows, factor, done = open_points.count(), 1.0, []
     while open_rows:
         found = stage(_round(locations, open_points, factor, k, rows, open_rows, terms, broadcast_rows, hot_rows), "knn")
@@ -80,8 +82,8 @@ def knn_distance(
     return reduce(DataFrame.unionByName, done).select(*PLACE, "w", "dist")
 
 
-def candidate_pairs(every, open_points, factor, rows, open_rows, terms, broadcast_rows, hot_rows) -> DataFrame:
-    """Open points with the places in the cells around them.
+def candidate_pairs(every, open_points, factor, rows, open_rows, terms, broadcast_rows, hot_rows, *keep: str) -> DataFrame:
+    """Open points, with their columns ``keep``, and the places in the cells around them.
 
     Points with cells of one size meet on the grid of that size. Every place is laid
     out once for each size that open points of its keyword still use: at most
@@ -89,7 +91,7 @@ def candidate_pairs(every, open_points, factor, rows, open_rows, terms, broadcas
     """
     reach = F.least(F.col("side") * factor, F.lit(HALF_CIRCLE_M))
     side = m_to_degree(reach)
-    queries = open_points.select("term", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), "side")
+    queries = open_points.select("term", F.col("lon").alias("q_lon"), F.col("lat").alias("q_lat"), "side", *keep)
     queries = explode_sphere_cover(queries, side, side, "q_lat", "q_lat", "q_lon", "q_lon")
     used = open_points.groupBy("term").agg(F.collect_set("side").alias("sides"))
     cells = lookup_join(every, used, ["term"], ["lon", "lat"], terms, broadcast_rows, hot_rows)
@@ -102,19 +104,18 @@ def candidate_pairs(every, open_points, factor, rows, open_rows, terms, broadcas
 
 def _round(every, open_points, factor, k, rows, open_rows, terms, broadcast_rows, hot_rows) -> DataFrame:
     """Search one cell side around the open points; ``dist`` stays null without k neighbours."""
-    pairs = candidate_pairs(every, open_points, factor, rows, open_rows, terms, broadcast_rows, hot_rows)
+    pairs = candidate_pairs(every, open_points, factor, rows, open_rows, terms, broadcast_rows, hot_rows, "id")
     reach = F.least(F.col("side") * factor, F.lit(HALF_CIRCLE_M))
     apart = (F.col("lon") != F.col("q_lon")) | (F.col("lat") != F.col("q_lat"))
     pairs = pairs.filter(apart).withColumn("d", distance_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")))
-    pairs = pairs.filter(F.col("d") <= reach)
+    pairs = pairs.filter(F.col("d") <= reach).select("id", "w", "d")
     # Every place weighs at least one point, so the k nearest places suffice; the
     # planner applies the limit before the shuffle.
-    near = Window.partitionBy("term", "q_lon", "q_lat").orderBy("d")
+    near = Window.partitionBy("id").orderBy("d")
     nearest = pairs.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
     nearest = nearest.withColumn("reached", F.sum("w").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    kth = nearest.groupBy("term", "q_lon", "q_lat").agg(F.min(F.when(F.col("reached") >= k, F.col("d"))).alias("dist"))
-    kth = kth.select("term", F.col("q_lon").alias("lon"), F.col("q_lat").alias("lat"), "dist")
-    return open_points.join(kth, PLACE, "left")
+    kth = nearest.groupBy("id").agg(F.min(F.when(F.col("reached") >= k, F.col("d"))).alias("dist"))
+    return open_points.join(kth, "id", "left")
 
 
 def distance_curve(distances: DataFrame) -> DataFrame:

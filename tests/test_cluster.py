@@ -242,6 +242,14 @@ def test_one_crowded_cell_stays_its_own_affair(spark):
         assert got[lon[i], lat[i]] == pytest.approx(d, abs=2e-6)
 
 
+def test_pairs_are_dealt_by_the_number_of_their_place(spark):
+    rows = [("t", 12.0 + i / 1e4, 41.0, 1, 100.0, i) for i in range(20)]
+    places = stage(spark.createDataFrame(rows, "term string, lon double, lat double, w bigint, side double, id bigint"), "numbered")
+    found = knn._round(places.select("term", "lon", "lat", "w"), places, 1.0, 4, 20, 20, 1, 200_000, 1_000_000)
+    assert "hashpartitioning(id#" in found._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.dist is not None for r in found.collect()) == 20
+
+
 def test_boxes_are_split_until_their_pairs_are_few(spark):
     """Places that crowd towards one point ever more: no level of boxes is the last."""
     rng = np.random.default_rng(3)
