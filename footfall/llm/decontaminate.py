@@ -59,7 +59,7 @@ def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
     A window with a term that the corpus lacks cannot occur and is left out.
     """
     terms = windows.select("w", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-    known = terms.join(counts, "term")
+    known = lookup_join(terms, counts, ["term"], ["w"])
     rank = F.row_number().over(Window.partitionBy("w", "n").orderBy("count", "offset"))
     whole = F.count(F.lit(1)).over(Window.partitionBy("w", "n"))
     ranked = known.withColumn("rank", rank).withColumn("whole", whole)

@@ -56,6 +56,16 @@ def test_close_pairs_in_a_crowd(spark, monkeypatch):
     assert got == {i: 200 + 50 * (i - 700) if i >= 700 else i for i in range(708)}
 
 
+def test_bucket_keys_are_not_broadcast(spark):
+    """Each node has 91 keys, which Spark's estimate does not count."""
+    hashes = [(i, 5, [i % 3 + k for k in range(near_dedup.COLLECTIONS)]) for i in range(30)]
+    nodes = near_dedup.stage(spark.createDataFrame(hashes, "id long, n long, hashes array<long>"), "nodes")
+    held = near_dedup._buckets(nodes)
+    assert "Broadcast" not in held._jdf.queryExecution().executedPlan().toString()
+    assert held.count() == 30 * 91 and held.columns == ["key", "id", "n"]
+    assert "Broadcast" not in held._jdf.queryExecution().executedPlan().toString()
+
+
 def test_odd_rows(spark, odd, odd_rows, none):
     clashing = odd.withColumns({c: F.lit(1) for c in ("digest", "hashes", "id", "key", "n", "root", "hub")})
     got = near_dedup.near_groups(clashing).collect()

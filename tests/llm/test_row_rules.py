@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.llm import quality_rules, secret_scan
+from footfall.llm.text import left_lookup
 from tests.llm import brute
 
 
@@ -130,3 +131,10 @@ def test_many_matches_keep_their_places(spark):
     text = " ".join(f"é token={i:06d}" for i in range(1500))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert secret_scan.digest(docs).first().base_sha256 == brute.base_secrets(text)["base_sha256"]
+
+
+def test_copies_of_a_salted_side_are_not_broadcast(spark):
+    big, small = spark.range(100).withColumn("k", F.col("id") % 7), spark.range(5).withColumnRenamed("id", "k").withColumn("v", F.lit(1))
+    joined = left_lookup(big, small, ["k"], ["id"], broadcast_rows=4)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 100 and joined.filter("v = 1").count() == sum(i % 7 < 5 for i in range(100))
